@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import queries as data
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return data.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return data.oracle_sql()
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
