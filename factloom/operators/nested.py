@@ -126,11 +126,11 @@ def _project(v: str, shape: dict, parent: str, path: str, n: int, depth: int) ->
     return rows, rest
 
 
-def payloads(facts: DataFrame) -> DataFrame:
-    """fact_id, family and the payload as an object, where it is readable."""
+def payloads(facts: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """fact_id, family (and more columns) and the payload as an object, where it is readable."""
     v = "try_parse_json(payload)"
     v = F.expr(v)
-    out = facts.select("fact_id", "family", v.alias("v")).where("v IS NOT NULL")
+    out = facts.select("fact_id", "family", *more, v.alias("v")).where("v IS NOT NULL")
     for _ in range(2):
         out = out.withColumn("v", F.expr(_object("v")))
     out = out.withColumn("v", F.expr(f"CASE WHEN {_is_object(_field('v', 'fact'))} THEN {_field('v', 'fact')} WHEN try_variant_get(v, '$.fact', 'string') IS NOT NULL AND {_is_object(_text(_field('v', 'fact')))} THEN {_text(_field('v', 'fact'))} ELSE v END"))
