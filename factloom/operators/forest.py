@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 
-ROWS = 500_000
+ROWS = 100_000
 _LINK = ["kind", "node", "parent", "weight", "via"]
 _OUT = "kind string, node string, top string, depth long, via array<string>"
 

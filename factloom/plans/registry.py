@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import queries as data
+from ..operators import analytics, queries as data
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return data.queries()
+    return data.queries() | analytics.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return data.oracle_sql()
+    return data.oracle_sql() | analytics.SQL
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
