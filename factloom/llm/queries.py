@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import table, written
 from . import files, leaks, mixing, repeats, spans
 
 
@@ -81,7 +81,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity under the corpus model and the band of the document's language."""
     documents = table(spark, d, "documents")
-    return repeats.bands(repeats.perplexity(documents), documents)
+    return repeats.bands(written(repeats.perplexity(documents)), documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
