@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import analytics, queries as data
+from ..rules import queries as rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return data.queries() | analytics.QUERIES
+    return data.queries() | analytics.QUERIES | rules.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return data.oracle_sql() | analytics.SQL
+    return data.oracle_sql() | analytics.SQL | rules.oracle_sql()
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    raise NotImplementedError
+    """Sentence-length uniformity of every document, judged and with the verdict: the shortest path through engine and operators."""
+    return analytics.writ_sentence_uniformity(spark, directory).withColumn("failed", F.col("uniformity") > 90)

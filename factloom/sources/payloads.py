@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import nested
 from ..operators.facts import FactTable, first_per
+from ..session import written
 
 #: Declared fields: a type name is a scalar, [..] a list, dict an object, ("map", type) a map.
 FIELDS: dict[str, dict] = {
@@ -41,7 +42,7 @@ def facts(raw: DataFrame, family: str) -> DataFrame:
 
 def table(raw: DataFrame, family: str) -> FactTable:
     """The family as a fact table; each list of records is a relation with fact_id and ordinal."""
-    rows = facts(raw, family)
+    rows = written(facts(raw, family))
     relations = {"facts": rows}
     for name, kind in FIELDS[family].items():
         if isinstance(kind, list) and isinstance(kind[0], dict):
