@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..context import queries as context
 from ..operators import analytics, queries as data
 from ..rules import queries as rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return data.queries() | analytics.QUERIES | rules.queries()
+    return data.queries() | analytics.QUERIES | rules.queries() | context.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return data.oracle_sql() | analytics.SQL | rules.oracle_sql()
+    return data.oracle_sql() | analytics.SQL | rules.oracle_sql() | context.oracle_sql()
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
