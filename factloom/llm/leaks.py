@@ -84,7 +84,7 @@ def search(items: Items, documents: list[tuple[int, np.ndarray]]):
 _FOUND = "doc_id long, item_id long, words long, doc_word long, item_word long"
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The longest verbatim match of each document and item that share at least `least` consecutive words."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     if size > ITEMS_BOUND:
@@ -103,7 +103,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
                 words = words_of(text)
                 shard.append((doc, np.fromiter(map(number, words), np.int64, len(words))))
                 size += len(words)
-                if size >= SHARD_WORDS:
+                if size >= shard_words:
                     yield pd.DataFrame(search(held, shard), columns=["doc_id", "item_id", "words", "doc_word", "item_word"])
                     shard, size = [], 0
         if shard:

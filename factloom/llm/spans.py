@@ -7,7 +7,7 @@ has the same interior symbols in both, and a window that holds a symbol no other
 windows are grouped with partial aggregates (least and greatest stream), never paired; a name or window that a third of
 all streams share is one row per task before the shuffle. What the symbols leave is verified by 128-bit hashes.
 
-Streams are cut into blocks of BLOCK tokens with HALO more on either side, so no task holds a whole long stream.
+Streams are cut into blocks of `width` tokens with HALO more on either side, so no task holds a whole long stream.
 
 Defined cases: repeated rows count once; of two rows for one place the one with the lesser name counts; a missing place
 breaks the stream there; null symbols and identities equal null; rows without stream_id or token_no are left out; streams
@@ -176,7 +176,7 @@ def _symbols(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFra
 _HASHES = "one long, two long, stream_id long, token_no long"
 
 
-def _candidates(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pd.DataFrame], least: int, width: int) -> Iterator[pd.DataFrame]:
     """Hashes of the windows all of whose settled symbols other streams have too. Rows with a null token_no are the group's private names."""
 
     def tokens() -> Iterator[pd.DataFrame]:
@@ -206,7 +206,7 @@ def _candidates(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Data
         # A window belongs to the block its first token is in.
         block = np.array([k[1] for k in keys])
         own = owner[: len(start)]
-        free &= (own >= 0) & (seq.number[: len(start)] // BLOCK == block[np.maximum(own, 0)])
+        free &= (own >= 0) & (seq.number[: len(start)] // width == block[np.maximum(own, 0)])
         stream = np.array([k[0] for k in keys])
         at = np.flatnonzero(free)
         one, two = _windows(seq.one, least), _windows(seq.two, least)
@@ -215,24 +215,24 @@ def _candidates(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Data
             yield pd.DataFrame({"one": one[i].view(np.int64), "two": two[i].view(np.int64), "stream_id": stream[own[i]], "token_no": seq.number[i]})
 
 
-def _blocks(tokens: DataFrame) -> DataFrame:
+def _blocks(tokens: DataFrame, width: int) -> DataFrame:
     """Named tokens by stream and block, each also in the neighbouring block whose halo it lies in."""
     named = tokens.where(F.col("stream_id").isNotNull() & F.col("token_no").isNotNull()).select(
         F.col("stream_id").cast("long"), F.col("token_no").cast("long"),
         F.xxhash64("symbol", F.isnull("symbol"), "identity", F.isnull("identity")).alias("one"),
         F.xxhash64(F.lit(7), F.isnull("identity"), "identity", F.isnull("symbol"), "symbol").alias("two"),
     )
-    block = F.expr(f"token_no div {BLOCK}")
-    near = F.array(F.expr(f"(token_no - {HALO}) div {BLOCK}"), block, F.expr(f"(token_no + {HALO}) div {BLOCK}"))
-    inner = F.expr(f"token_no % {BLOCK}").between(HALO, BLOCK - HALO - 1)
+    block = F.expr(f"token_no div {width}")
+    near = F.array(F.expr(f"(token_no - {HALO}) div {width}"), block, F.expr(f"(token_no + {HALO}) div {width}"))
+    inner = F.expr(f"token_no % {width}").between(HALO, width - HALO - 1)
     return named.withColumn("block", F.explode(F.when(inner, F.array(block)).otherwise(F.array_distinct(near))))
 
 
-def shared_windows(tokens: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_windows(tokens: DataFrame, least: int = LEAST, width: int = BLOCK) -> DataFrame:
     """stream_id, token_no of the first token of every run of `least` tokens that also stands in another stream."""
     if not 40 <= least <= HALO:
         raise ValueError(f"the rounds guarantee a symbol in 40 tokens or more, the halo allows {HALO}")
-    placed = _blocks(tokens)
+    placed = _blocks(tokens, width)
     grouped = placed.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "token_no")
     symbols = written(grouped.mapInPandas(lambda b: _symbols(b, least), _SYMBOLS))
     private = symbols.groupBy("name").agg(F.min("stream_id").alias("a"), F.max("stream_id").alias("b")).where("a = b").select("name")
@@ -240,17 +240,17 @@ def shared_windows(tokens: DataFrame, least: int = LEAST) -> DataFrame:
     both = placed.withColumn("private", F.lit(False)).select(private.columns).unionByName(private)
     # Nulls first: a group's private names come before its tokens.
     both = both.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", F.col("token_no").asc_nulls_first())
-    windows = written(both.mapInPandas(lambda b: _candidates(b, least), _HASHES))
+    windows = written(both.mapInPandas(lambda b: _candidates(b, least, width), _HASHES))
     shared = windows.groupBy("one", "two").agg(F.min("stream_id").alias("a"), F.max("stream_id").alias("b")).where("a <> b").select("one", "two")
     return windows.join(shared, ["one", "two"], "left_semi").select("stream_id", "token_no")
 
 
-def shared_tokens(windows: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_tokens(windows: DataFrame, least: int = LEAST, width: int = BLOCK) -> DataFrame:
     """stream_id and the number of its tokens that some shared window covers, counted block by block."""
-    rows = windows.withColumn("block", F.explode(F.array_distinct(F.array(F.expr(f"token_no div {BLOCK}"), F.expr(f"(token_no + {least - 1}) div {BLOCK}")))))
+    rows = windows.withColumn("block", F.explode(F.array_distinct(F.array(F.expr(f"token_no div {width}"), F.expr(f"(token_no + {least - 1}) div {width}")))))
     before = F.lag("token_no").over(Window.partitionBy("stream_id", "block").orderBy("token_no"))
-    start = F.greatest(F.col("token_no"), F.coalesce(before + least, F.lit(0)), F.col("block") * BLOCK)
-    end = F.least(F.col("token_no") + least, (F.col("block") + 1) * BLOCK)
+    start = F.greatest(F.col("token_no"), F.coalesce(before + least, F.lit(0)), F.col("block") * width)
+    end = F.least(F.col("token_no") + least, (F.col("block") + 1) * width)
     return rows.withColumn("n", F.greatest(end - start, F.lit(0))).groupBy("stream_id").agg(F.sum("n").alias("shared_tokens")).where("shared_tokens > 0")
 
 
