@@ -11,51 +11,50 @@ from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
 from .shape import counted, flag, located, measured, text
 
-NAME = F.col("qualname")
 
 
 @rule("ALL-FUNC0001", "FunctionFact", policy=Numeric(maximum=10))
 def function_statement_count(functions: FactTable) -> Result:
     """Direct statements of a callable."""
-    return measured(functions, F.col("statements"), text("`", NAME, "` has ", F.col("statements"), " statements"))
+    return measured(functions, F.col("statements"), text("`", F.col("qualname"), "` has ", F.col("statements"), " statements"))
 
 
 @rule("ALL-FUNC0004", "FunctionFact", output="boolean")
 def one_line_nested_function(functions: FactTable, minimum_references: int = 2) -> Result:
     """A one-line nested function that is used less than twice."""
-    return flag(functions, F.col("is_nested") & (F.col("lines") <= 1) & (F.col("references") < minimum_references), text("`", NAME, "` could be written where it is used"))
+    return flag(functions, F.col("is_nested") & (F.col("lines") <= 1) & (F.col("references") < minimum_references), text("`", F.col("qualname"), "` could be written where it is used"))
 
 
 @rule("ALL-FUNC0005", "FunctionFact", output="boolean")
 def transparent_wrapper(functions: FactTable) -> Result:
     """A function that only hands its one parameter on to one call."""
-    return flag(functions, F.col("returns_call") & ~F.col("is_method"), text("`", NAME, "` only forwards its argument"))
+    return flag(functions, F.col("returns_call") & ~F.col("is_method"), text("`", F.col("qualname"), "` only forwards its argument"))
 
 
 @rule("ALL-FUNC0006", "FunctionFact", output="boolean")
 def shallow_callable(functions: FactTable, minimum_references: int = 2, minimum_operations: int = 1, ignore_names: tuple[str, ...] = ()) -> Result:
     """An undocumented one-line public function with few operations and references."""
     thin = F.col("is_public") & ~F.col("has_docstring") & (F.col("lines") <= 1) & ~F.col("is_test") & (F.col("operations") <= minimum_operations) & (F.col("references") < minimum_references)
-    return flag(functions, thin & ~F.col("name").isin(*ignore_names) if ignore_names else thin, text("`", NAME, "` hides almost nothing"))
+    return flag(functions, thin & ~F.col("name").isin(*ignore_names) if ignore_names else thin, text("`", F.col("qualname"), "` hides almost nothing"))
 
 
 @rule("ALL-FUNC0007", "FunctionFact", policy=Numeric(maximum=4))
 def function_conditional_count(functions: FactTable) -> Result:
     """Conditionals of a callable."""
-    return measured(functions, F.col("conditionals"), text("`", NAME, "` decides ", F.col("conditionals"), " times"))
+    return measured(functions, F.col("conditionals"), text("`", F.col("qualname"), "` decides ", F.col("conditionals"), " times"))
 
 
 @rule("ALL-FUNC0008", "FunctionFact", policy=Numeric(maximum=8))
 def cognitive_complexity(functions: FactTable, nesting_penalty: int = 1) -> Result:
     """Control structures, each with a penalty for its depth."""
     value = F.col("controls") + nesting_penalty * F.col("control_depth")
-    return measured(functions, value, text("`", NAME, "` has a complexity of ", value))
+    return measured(functions, value, text("`", F.col("qualname"), "` has a complexity of ", value))
 
 
 @rule("ALL-FUNC0009", "FunctionFact", policy=Numeric(maximum=2))
 def nesting_depth(functions: FactTable) -> Result:
     """Greatest depth of nested control structures."""
-    return measured(functions, F.col("nesting"), text("`", NAME, "` nests ", F.col("nesting"), " deep"))
+    return measured(functions, F.col("nesting"), text("`", F.col("qualname"), "` nests ", F.col("nesting"), " deep"))
 
 
 @rule("ALL-FUNC0010", "FunctionFact", policy=Numeric(maximum=5))
@@ -63,14 +62,14 @@ def required_parameter_count(functions: FactTable) -> Result:
     """Parameters a caller must give, without the receiver."""
     rows = functions.relation("parameters").where("NOT is_receiver AND NOT has_default AND kind NOT IN ('variadic', 'keywords')")
     facts = functions.counted(rows)
-    return shaping.integer(facts, "count", shaping.findings(facts, text("`", NAME, "` requires ", F.col("count"), " arguments"), (("parameters", F.col("count"), "count"),), order=F.lit(0)), F.lit(1))
+    return shaping.integer(facts, "count", shaping.findings(facts, text("`", F.col("qualname"), "` requires ", F.col("count"), " arguments"), (("parameters", F.col("count"), "count"),), order=F.lit(0)), F.lit(1))
 
 
 @rule("ALL-FUNC0002", "FunctionFact", output="boolean")
 def single_use_trivial_helper(functions: FactTable, maximum_lines: int = 1, ignore_names: tuple[str, ...] = ()) -> Result:
     """A private module function of a line that is used once."""
     helper = ~F.col("is_public") & ~F.col("is_method") & ~F.col("is_nested") & (F.col("lines") <= maximum_lines) & (F.col("references") == 1) & (F.size("decorators") == 0)
-    return flag(functions, helper & ~F.col("name").isin(*ignore_names) if ignore_names else helper, text("`", NAME, "` is used once and does one thing"))
+    return flag(functions, helper & ~F.col("name").isin(*ignore_names) if ignore_names else helper, text("`", F.col("qualname"), "` is used once and does one thing"))
 
 
 @rule("ALL-PARA0001", "FunctionFact")
@@ -122,26 +121,26 @@ def concrete_collection_parameter(functions: FactTable) -> Result:
 @rule("PY-CACH0001", "FunctionFact", output="boolean", language="python")
 def instance_independent_cached_property(functions: FactTable) -> Result:
     """A cached property that never reads its receiver."""
-    return flag(functions, F.exists("decorators", lambda x: x.endswith("cached_property")) & (F.col("receiver_reads") == 0), text("`", NAME, "` does not depend on its instance"))
+    return flag(functions, F.exists("decorators", lambda x: x.endswith("cached_property")) & (F.col("receiver_reads") == 0), text("`", F.col("qualname"), "` does not depend on its instance"))
 
 
 @rule("PY-CACH0002", "FunctionFact", output="boolean", language="python")
 def cached_instance_method(functions: FactTable) -> Result:
     """A cache on an instance method."""
-    return flag(functions, F.col("is_method") & F.exists("decorators", lambda x: x.isin("cache", "lru_cache", "functools.cache", "functools.lru_cache")) & ~F.exists("decorators", lambda x: x.isin("staticmethod", "classmethod")), text("`", NAME, "` keeps its instances alive"))
+    return flag(functions, F.col("is_method") & F.exists("decorators", lambda x: x.isin("cache", "lru_cache", "functools.cache", "functools.lru_cache")) & ~F.exists("decorators", lambda x: x.isin("staticmethod", "classmethod")), text("`", F.col("qualname"), "` keeps its instances alive"))
 
 
 @rule("PY-DEAD0001", "FunctionFact", output="boolean", language="python")
 def unreferenced_private_function(functions: FactTable) -> Result:
     """A private module function nothing refers to."""
-    return flag(functions, ~F.col("is_public") & ~F.col("is_method") & ~F.col("is_nested") & (F.col("references") == 0) & (F.size("decorators") == 0) & ~F.col("name").rlike("^__"), text("nothing refers to `", NAME, "`"))
+    return flag(functions, ~F.col("is_public") & ~F.col("is_method") & ~F.col("is_nested") & (F.col("references") == 0) & (F.size("decorators") == 0) & ~F.col("name").rlike("^__"), text("nothing refers to `", F.col("qualname"), "`"))
 
 
 @rule("PY-DOCU0001", "FunctionFact", output="boolean", language="python")
 def docstring_style(functions: FactTable, maximum_summary: int = 99) -> Result:
     """A docstring whose first line is too long or does not end a sentence."""
     summary = F.trim(F.split("docstring", "\n")[0])
-    return flag(functions, F.col("has_docstring") & ((F.length(summary) > maximum_summary) | ~summary.rlike(r"[.!?]$")), text("the summary of `", NAME, "` is no short sentence"))
+    return flag(functions, F.col("has_docstring") & ((F.length(summary) > maximum_summary) | ~summary.rlike(r"[.!?]$")), text("the summary of `", F.col("qualname"), "` is no short sentence"))
 
 
 @rule("PY-NAMI0001", "FunctionFact", output="boolean", language="python")
@@ -150,10 +149,10 @@ def boolean_predicate_name(functions: FactTable, prefixes: tuple[str, ...] = ("i
     asks = F.lit(False)
     for p in prefixes:
         asks = asks | F.regexp_replace("name", "^_+", "").startswith(p)
-    return flag(functions, F.exists("decorators", lambda x: x == "property") & F.col("docstring").rlike(r"(?i)^\s*(?:whether|true if|return whether)") & ~asks, text("`", NAME, "` answers a question its name does not ask"))
+    return flag(functions, F.exists("decorators", lambda x: x == "property") & F.col("docstring").rlike(r"(?i)^\s*(?:whether|true if|return whether)") & ~asks, text("`", F.col("qualname"), "` answers a question its name does not ask"))
 
 
 @rule("PY-PYDA0003", "FunctionFact", output="boolean", language="python")
 def imperative_model_input_validation(functions: FactTable) -> Result:
     """A factory method with many conditionals over raw input."""
-    return flag(functions, F.exists("decorators", lambda x: x == "classmethod") & F.col("name").rlike(r"^from_") & (F.col("conditionals") >= 3), text("`", NAME, "` validates by hand"))
+    return flag(functions, F.exists("decorators", lambda x: x == "classmethod") & F.col("name").rlike(r"^from_") & (F.col("conditionals") >= 3), text("`", F.col("qualname"), "` validates by hand"))

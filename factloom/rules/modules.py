@@ -10,10 +10,6 @@ from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
 from .shape import counted, flag, measured, text
 
-STEM = F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]+)?$", 1)
-PARENT = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-
-
 @rule("ALL-MODU0001", "ModuleFact", policy=Numeric(maximum=500))
 def module_line_count(modules: FactTable) -> Result:
     """Physical lines of a module."""
@@ -30,7 +26,8 @@ def module_member_count(modules: FactTable) -> Result:
 @rule("ALL-MODU0003", "ModuleFact", output="boolean")
 def module_inception(modules: FactTable) -> Result:
     """A file named as its directory."""
-    return flag(modules, (PARENT != "") & (STEM == PARENT), text(F.col("path"), " repeats its directory's name"))
+    stem, parent = F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]+)?$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    return flag(modules, (parent != "") & (stem == parent), text(F.col("path"), " repeats its directory's name"))
 
 
 @rule("ALL-MODU0004", "ModuleFact")
