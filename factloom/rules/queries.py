@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.facts import FactTable
 from ..plans import engine
 from ..session import table, written
-from ..sources import payloads, python_source
-from . import calls, classes, data, functions, modules, statements  # noqa: F401  registers the rules
+from ..sources import domain as tables_of, payloads, python_source, surfaces
+from . import calls, classes, data, devices, domain, functions, modules, statements, suites  # noqa: F401  registers the rules
 
 DATA_RULES = ["ALL-DATA0001", "ALL-DATA0004", "ALL-DATA0006", "ALL-DATA0007", "ALL-DATA0009", "ALL-DATA0012", "ALL-DATA0013", "ALL-REVI0001", "ALL-WAIV0001", "ALL-DUPL0003", "PY-TEST0004", "PY-TEST0005"]
 
@@ -64,6 +64,29 @@ def rules_python_summaries(spark: SparkSession, d: str) -> DataFrame:
     return written(out.select("rule", "observation_count", "unassessed_count", "failure_count", "finding_count"))
 
 
+DOMAIN_RULES = ["ALL-HIST0001", "ALL-HIST0002", "ALL-COMM0001", "ALL-COMM0003", "ALL-WRIT0003", "ALL-WRIT0004", "ALL-WRIT0005"]
+
+
+def rules_domain_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values and verdicts of the rules over history, comments and prose."""
+    tables = {"RepositoryHistoryFact": tables_of.history_table(table(spark, d, "file_history")), "CommentFact": tables_of.comment_table(table(spark, d, "comment_group")), "ProseSegmentFact": tables_of.prose_table(table(spark, d, "documents"))}
+    return _judged(tables, DOMAIN_RULES).select("rule", "fact_id", F.coalesce("float_value", F.col("integer_value").cast("double")).alias("number"), "failed")
+
+
+def rules_coupling_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the rules over module coupling and ancestors."""
+    classes_ = table(spark, d, "class_index")
+    tables = {"ModuleCouplingFact": tables_of.coupling_table(classes_), "OverrideFact": tables_of.override_table(classes_)}
+    return _judged(tables, ["ALL-ARCH0002", "ALL-ARCH0003", "ALL-CLAS0005"]).select("rule", "fact_id", "integer_value", "failed", "unassessed")
+
+
+def rules_surface_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the rules over Rust and TypeScript files."""
+    tables = surfaces.tables(table(spark, d, "source_file"))
+    ids = sorted(id for id, r in engine.CATALOG.items() if set(r.families) <= set(tables))
+    return _judged(tables, ids).select("rule", "fact_id", F.coalesce("float_value", F.col("integer_value").cast("double")).alias("number"), "failed")
+
+
 def facts_functions(spark: SparkSession, d: str) -> DataFrame:
     """The callables of the Python sources with their measures."""
     return _python(spark, d)["FunctionFact"].facts().select("fact_id", "path", "qualname", "statements", "conditionals", "nesting", "lines", "references")
@@ -85,7 +108,7 @@ def facts_imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rules_data_values, rules_data_summaries, rules_data_failures, rules_data_findings, rules_python_summaries, facts_functions, facts_calls, facts_classes, facts_imports)}
+    return {f.__name__: f for f in (rules_domain_values, rules_coupling_values, rules_surface_values, rules_data_values, rules_data_summaries, rules_data_failures, rules_data_findings, rules_python_summaries, facts_functions, facts_calls, facts_classes, facts_imports)}
 
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -160,8 +183,21 @@ judged AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    from ..operators.analytics import SQL
+
+    prose = {"ALL-WRIT0003": ("writ_sentence_uniformity", "uniformity", 90), "ALL-WRIT0005": ("writ_opener_concentration", "share", 30)}
+    written_ = " UNION ALL ".join(f"SELECT '{r}' AS rule, 'document:' || fact_id AS fact_id, {v} AS number, {v} > {most} AS failed FROM ({SQL[q]})" for r, (q, v, most) in prose.items())
+    paragraphs = SQL["writ_paragraph_uniformity"].replace("n >= 3", "n >= 4").replace("x >= 10", "x >= 30")
+    files = "(SELECT *, coalesce(author_count, 0) + coalesce(additional_commit_count, 0) AS c FROM file_history QUALIFY row_number() OVER (PARTITION BY repository, path ORDER BY recorded_at DESC NULLS LAST, line_count DESC NULLS LAST) = 1)"
+    groups = "(SELECT * FROM comment_group WHERE body IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY ingested_at DESC NULLS LAST) = 1)"
+    domain_ = f"""{written_} UNION ALL SELECT 'ALL-WRIT0004', 'document:' || fact_id, uniformity, uniformity > 90 FROM ({paragraphs})
+UNION ALL SELECT 'ALL-HIST0001', 'history:' || repository, CAST(count(*) FILTER (WHERE line_count >= 400 AND c >= 2 AND c >= b * 0.5 AND days_since_last_change <= 180) AS DOUBLE), count(*) FILTER (WHERE line_count >= 400 AND c >= 2 AND c >= b * 0.5 AND days_since_last_change <= 180) > 0 FROM (SELECT *, max(c) OVER (PARTITION BY repository) AS b FROM {files}) GROUP BY repository
+UNION ALL SELECT 'ALL-HIST0002', 'history:' || repository, CAST(count(*) FILTER (WHERE author_count >= 4 AND c >= 5) AS DOUBLE), count(*) FILTER (WHERE author_count >= 4 AND c >= 5) > 0 FROM {files} GROUP BY repository
+UNION ALL SELECT 'ALL-COMM0001', 'comments:' || f.repository || ':' || f.path, coalesce(share, 0.0), coalesce(share, 0.0) > 20 FROM (SELECT DISTINCT repository, path FROM {groups}) f LEFT JOIN ({SQL['comm_length']}) s ON s.repository = f.repository AND s.path = f.path
+UNION ALL SELECT 'ALL-COMM0003', 'comments:' || f.repository || ':' || f.path, CAST(count(m.marker) AS DOUBLE), count(m.marker) > 0 FROM (SELECT DISTINCT repository, path FROM {groups}) f LEFT JOIN ({SQL['comm_work_markers']}) m ON m.repository = f.repository AND m.path = f.path GROUP BY f.repository, f.path"""
     order = ", ".join(f"('{r}', {k})" for k, r in enumerate(sorted(DATA_RULES)))
     return {
+        "rules_domain_values": domain_,
         "rules_data_values": _PREPARED + "SELECT rule, fact_id, number, category_value, failed, unassessed FROM judged",
         "rules_data_failures": _PREPARED + f""", listed AS (SELECT * FROM (VALUES {order}) AS t(rule, k))
 SELECT fact_order, rule, j.fact_id FROM judged j JOIN listed USING (rule) JOIN fact f ON f.fact_id = j.fact_id WHERE failed ORDER BY fact_order, k, j.fact_id LIMIT 100""",

@@ -43,6 +43,11 @@ RELATIONS: dict[str, dict[str, str]] = {
     "branch": {"arms": "long", "subject": "string", "literals": "long", "line": "long"},
     "block": {"kind": "string", "subtree_end": "long", "depth": "long", "line": "long", "else_after_jump": "boolean"},
     "effect": {"kind": "string", "line": "long"},
+    "test": {"name": "string", "shape": "string", "literals": "array<string>", "fixtures": "array<string>", "reach": "array<string>", "statements": "long", "conditionals": "long", "assertions": "long", "is_async": "boolean", "decorators": "array<string>", "mutates": "boolean", "literal_loop": "long", "range_cases": "long", "line": "long"},
+    "enum": {"name": "string", "member": "string", "value": "string", "base": "string", "line": "long"},
+    "export": {"name": "string", "line": "long"},
+    "reference": {"name": "string", "n": "long"},
+    "declaration": {"name": "string", "kind": "string", "is_public": "boolean", "line": "long"},
 }
 LIFECYCLE = ("__init_subclass__", "__new__", "__init__", "__post_init__", "__del__")
 _INERT = (ast.Pass, ast.Continue)
@@ -89,6 +94,7 @@ class _Reader(ast.NodeVisitor):
         self.module()
         self.generic_visit(tree)
         self.blocks()
+        self.symbols()
 
     def add(self, relation: str, fact: str | None = None, **row) -> None:
         self.rows[relation].append((fact or self.module_id, row))
@@ -129,6 +135,34 @@ class _Reader(ast.NodeVisitor):
 
         walk(self.tree, 0)
 
+    def symbols(self) -> None:
+        """Top-level declarations, exported names, and every name the module mentions outside its own declarations."""
+        for name, n in self.names.items():
+            self.add("reference", name=name, n=n)
+        for s in self.tree.body:
+            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                self.add("declaration", name=s.name, kind="class" if isinstance(s, ast.ClassDef) else "function", is_public=not s.name.startswith("_"), line=s.lineno)
+            elif isinstance(s, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in s.targets) and isinstance(s.value, (ast.List, ast.Tuple)):
+                for e in s.value.elts:
+                    if isinstance(e, ast.Constant) and isinstance(e.value, str):
+                        self.add("export", name=e.value, line=e.lineno)
+
+    def _test_case(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+        inside = list(ast.walk(node))
+        literals = [repr(n.value) for n in inside if isinstance(n, ast.Constant)]
+        shape = ast.dump(ast.Module([s for s in node.body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant))], []))
+        for text in sorted(set(literals), key=len, reverse=True):
+            shape = shape.replace(f"value={text}", "value=_")
+        calls = sorted({dotted(n.func) for n in inside if isinstance(n, ast.Call)} - {"len", "range", "print", "isinstance", "pytest.raises"})
+        loops = [n for n in inside if isinstance(n, ast.For) and isinstance(n.iter, (ast.List, ast.Tuple)) and any(isinstance(x, ast.Assert) for x in ast.walk(n))]
+        ranges = [n.args[-1].value - (n.args[0].value if len(n.args) > 1 else 0) for d in node.decorator_list for n in ast.walk(d) if isinstance(n, ast.Call) and dotted(n.func) == "range" and n.args and all(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in n.args)]
+        self.add(
+            "test", name=node.name, shape=shape, literals=literals, fixtures=sorted(a.arg for a in node.args.args if a.arg != "self"), reach=calls, statements=sum(isinstance(n, ast.stmt) for n in inside) - 1,
+            conditionals=sum(isinstance(n, (ast.If, ast.IfExp, ast.Match)) for n in inside), assertions=sum(isinstance(n, ast.Assert) for n in inside), is_async=isinstance(node, ast.AsyncFunctionDef),
+            decorators=[dotted(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list], mutates=any(isinstance(n, ast.Global) for n in inside), literal_loop=max((len(n.iter.elts) for n in loops), default=0),
+            range_cases=max(ranges, default=0), line=node.lineno,
+        )
+
     # -- functions
 
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
@@ -136,6 +170,8 @@ class _Reader(ast.NodeVisitor):
         qualname = ".".join([*owners, node.name])
         method = bool(self.owner) and isinstance(self.owner[-1], ast.ClassDef)
         fact = f"function:{self.path}:{qualname}:{node.lineno}"
+        if self.test and node.name.startswith("test"):
+            self._test_case(node)
         doc = ast.get_docstring(node)
         body = node.body[1:] if doc is not None else node.body
         controls, depths, deepest = 0, 0, 0
@@ -218,9 +254,12 @@ class _Reader(ast.NodeVisitor):
                 has_args=bool(m.args.vararg), has_kwargs=bool(m.args.kwarg), is_async=isinstance(m, ast.AsyncFunctionDef), is_property="property" in decorators or "cached_property" in decorators,
                 is_abstract="abstractmethod" in decorators, is_final="final" in decorators, body=ast.dump(ast.Module(body, [])) if body else "",
             )
+        base = next((b for b in map(dotted, node.bases) if b.split(".")[-1] in ("Enum", "StrEnum", "IntEnum", "Flag", "IntFlag")), None)
         for f in fields:
             if isinstance(f, ast.AnnAssign):
                 self.annotation(f.annotation)
+            elif base and isinstance(f.targets[0], ast.Name):
+                self.add("enum", name=node.name, member=f.targets[0].id, value=ast.unparse(f.value), base=base.split(".")[-1], line=f.lineno)
         self.owner.append(node)
         self.generic_visit(node)
         self.owner.pop()
@@ -401,7 +440,7 @@ def tables(files: DataFrame) -> dict[str, FactTable]:
         return relation(name).select("fact_id", "path", "ordinal", *(F.col(f"r.{c}").alias(c) for c, t in RELATIONS[name].items() if t))
 
     module = facts("module")
-    inside = {k: child(k) for k in ("call", "import", "handler", "raise", "try", "comprehension", "annotation", "literal", "attribute", "binding", "branch", "block", "effect")}
+    inside = {k: child(k) for k in ("call", "import", "handler", "raise", "try", "comprehension", "annotation", "literal", "attribute", "binding", "branch", "block", "effect", "test", "enum", "export", "reference", "declaration")}
     return {
         "FunctionFact": FactTable("FunctionFact", {"facts": facts("function"), "parameters": child("parameter")}),
         "ClassFact": FactTable("ClassFact", {"facts": facts("class"), "methods": child("method")}),
