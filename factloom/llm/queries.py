@@ -41,6 +41,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_errors(table(spark, d, "source_file")).where("error_line > 0").select("file_id")
 
 
+def p6_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The line of the first unrecoverable error of every file that does not parse."""
+    return files.parse_errors(table(spark, d, "source_file")).where("error_line > 0")
+
+
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "source_file")
     return files.failure_rates(source, files.parse_errors(source), table(spark, d, "scan_stats"))
