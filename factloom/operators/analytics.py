@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 from ..session import table
-from . import clones, forest, graphs, history, prose, text
+from . import clones, forest, graphs, history, prose, quantiles, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -364,12 +364,8 @@ def test_reach_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority, count(*) AS orders, list(o_totalprice ORDER BY o_totalprice)[CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT) + 1] AS p90 FROM orders GROUP BY ALL""")
 def ops_quantile(spark: SparkSession, d: str) -> DataFrame:
-    """A quantile at the nearest rank, without collecting a group: the row of that rank is picked by its position."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority")
-    rows = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", F.row_number().over(w.orderBy("o_totalprice")).alias("k"), F.count("*").over(w).alias("orders"))
-    return rows.where(F.col("k") == F.rint((F.col("orders") - 1) * F.lit(0.9)) + 1).select("o_orderpriority", "orders", F.col("o_totalprice").alias("p90"))
+    """A quantile at the nearest rank."""
+    return quantiles.nearest_rank(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", 0.9).select("o_orderpriority", F.col("count").alias("orders"), F.col("value").alias("p90"))
 
 
 @query("""WITH b AS (SELECT DISTINCT l_orderkey AS fact, l_linenumber AS s, l_linenumber + CAST(l_quantity AS INTEGER) % 4 AS e FROM lineitem),

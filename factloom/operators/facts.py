@@ -65,6 +65,12 @@ def first_per(frame: DataFrame, keys: list[str], *order: Column | str) -> DataFr
     return frame.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def latest(frame: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """The first row of each key in a stated order, for wide rows few of which are repeated: only repeated keys' rows are shuffled."""
+    again = frame.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return frame.join(again, key, "left_anti").unionByName(first_per(frame.join(again, key, "left_semi"), [key], *order).select(*frame.columns))
+
+
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

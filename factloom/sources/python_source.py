@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.facts import FactTable, first_per
+from ..operators.facts import FactTable, latest
 from ..session import shared_folder
 
 #: Columns of each relation besides fact_id and ordinal. The first relation of a family is its facts.
@@ -417,8 +417,8 @@ def tables(files: DataFrame) -> dict[str, FactTable]:
                         out.append((relation, file, fact, path, k, *place, json.dumps(row, ensure_ascii=True)))
             yield pd.DataFrame(out, columns=["relation", "file_id", "fact_id", "path", "ordinal", "line", "column", "end", "row"]).astype({"line": "Int64", "column": "Int64", "end": "Int64"})
 
-    latest = first_per(files.where("path LIKE '%.py' AND text IS NOT NULL").select("file_id", "path", "text", "ingested_at"), ["file_id"], F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
-    rows = latest.mapInPandas(extract, "relation string, file_id long, fact_id string, path string, ordinal long, line long, column long, end long, row string")
+    rows_ = latest(files.where("path LIKE '%.py' AND text IS NOT NULL").select("file_id", "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
+    rows = rows_.mapInPandas(extract, "relation string, file_id long, fact_id string, path string, ordinal long, line long, column long, end long, row string")
     spark = files.sparkSession
     folder = f"{shared_folder(spark)}/factloom-{uuid.uuid4().hex}"
     rows.write.partitionBy("relation").parquet(folder)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.facts import FactTable, first_per
+from ..operators.facts import FactTable, latest
 
 _STRIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`", re.S)
 _RUST_DECLARED = re.compile(r"\b(?:fn|struct|enum|trait|impl|type)\b[^;{(]*<\s*'\w+")
@@ -57,8 +57,8 @@ def _table(files: DataFrame, suffix: str, language: str, read, family: str) -> F
         for batch in batches:
             yield pd.DataFrame([(f, p, *read(t).values()) for f, p, t in zip(batch["file_id"], batch["path"], batch["text"])], columns=["file_id", "path", *columns])
 
-    latest = first_per(files.where(F.col("path").endswith(suffix) & F.col("text").isNotNull()).select("file_id", "path", "text", "ingested_at"), ["file_id"], F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
-    rows = latest.mapInPandas(extract, "file_id long, path string, " + ", ".join(f"{c} long" for c in columns))
+    rows_ = latest(files.where(F.col("path").endswith(suffix) & F.col("text").isNotNull()).select("file_id", "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
+    rows = rows_.mapInPandas(extract, "file_id long, path string, " + ", ".join(f"{c} long" for c in columns))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     return FactTable(family, {"facts": rows.select(F.col("file_id").alias("fact_order"), F.concat(F.lit("file:"), "path").alias("fact_id"), "path", one.alias("start_line"), none.alias("start_column"), one.alias("end_line"), none.alias("end_column"), F.lit(language).alias("language"), *columns)})
 

@@ -60,3 +60,18 @@ def test_cochange(spark):
     named = history.references(pairs, files)
     assert [(p.left, p.right, p.import_references) for p in named.collect()] == [("a.py", "b/c.py", 1)]
     assert history.hidden(named).count() == 0
+
+
+def test_quantiles(spark):
+    from factloom.operators import quantiles
+
+    r = random.Random(3)
+    rows = [("a", float(r.randrange(50))) for _ in range(300)] + [("b", 7.0)] * 40 + [("c", 1.0), ("c", 2.0), ("d", None)] + [("e", 5.0)] * 30 + [("e", 1e9)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = {x.k: (x["count"], x.value) for x in quantiles.nearest_rank(frame, ["k"], "v", q, buckets=4).collect()}
+        want = {}
+        for k in "abce":
+            values = sorted(v for n, v in rows if n == k)
+            want[k] = (len(values), values[round((len(values) - 1) * q)])
+        assert got == want
