@@ -254,12 +254,22 @@ def shared_tokens(windows: DataFrame, least: int = LEAST, width: int = BLOCK) ->
     return rows.withColumn("n", F.greatest(end - start, F.lit(0))).groupBy("stream_id").agg(F.sum("n").alias("shared_tokens")).where("shared_tokens > 0")
 
 
-def shared_spans(windows: DataFrame, tokens: DataFrame, least: int = LEAST) -> DataFrame:
-    """Maximal covered spans of each stream, with their first and last token and line."""
-    order = Window.partitionBy("stream_id").orderBy("token_no")
-    new = F.coalesce((F.col("token_no") > F.lag("token_no").over(order) + least).cast("int"), F.lit(1))
-    spans = windows.withColumn("new", new).withColumn("span", F.sum("new").over(order)).groupBy("stream_id", "span").agg(F.min("token_no").alias("first_token"), (F.max("token_no") + least - 1).alias("last_token"))
+def shared_spans(windows: DataFrame, tokens: DataFrame, least: int = LEAST, width: int = BLOCK) -> DataFrame:
+    """Maximal covered spans of each stream, with their first and last token and line.
+
+    A window begins a span where no other begins within `least` places before it, and ends one where none begins within
+    `least` after it; both are seen block by block with a halo. Only a stream's spans are then numbered in order.
+    """
+    near = F.array(F.expr(f"(token_no - {least}) div {width}"), F.expr(f"token_no div {width}"), F.expr(f"(token_no + {least}) div {width}"))
+    rows = windows.withColumn("block", F.explode(F.array_distinct(near)))
+    order = Window.partitionBy("stream_id", "block").orderBy("token_no")
+    gap = lambda other: F.coalesce(F.abs(F.col("token_no") - other) > least, F.lit(True))
+    marked = rows.withColumns({"begins": gap(F.lag("token_no").over(order)), "ends": gap(F.lead("token_no").over(order))}).where(F.col("block") == F.expr(f"token_no div {width}"))
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("token_no"))
+    first = marked.where("begins").select("stream_id", F.col("token_no").alias("first_token"), number.alias("span"))
+    last = marked.where("ends").select("stream_id", (F.col("token_no") + least - 1).alias("last_token"), number.alias("span"))
     lines = tokens.groupBy("stream_id", "token_no").agg(F.min("line").alias("line"))
-    first = lines.select("stream_id", F.col("token_no").alias("first_token"), F.col("line").alias("first_line"))
-    last = lines.select("stream_id", F.col("token_no").alias("last_token"), F.col("line").alias("last_line"))
-    return spans.join(first, ["stream_id", "first_token"], "left").join(last, ["stream_id", "last_token"], "left").select("stream_id", "first_token", "last_token", "first_line", "last_line")
+    start = lines.select("stream_id", F.col("token_no").alias("first_token"), F.col("line").alias("first_line"))
+    end = lines.select("stream_id", F.col("token_no").alias("last_token"), F.col("line").alias("last_line"))
+    spans = first.join(last, ["stream_id", "span"])
+    return spans.join(start, ["stream_id", "first_token"], "left").join(end, ["stream_id", "last_token"], "left").select("stream_id", "first_token", "last_token", "first_line", "last_line")

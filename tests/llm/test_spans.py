@@ -65,7 +65,8 @@ def test_blocks_and_spans(spark):
     rows = stream(1, code(r, 100) + run + code(r, 90)) + stream(2, run + code(r, 10)) + stream(3, code(r, 700) + run[100:190])
     frame = check(spark, rows, width=128)
     check(spark, rows, width=97)
-    found = {(x.stream_id, x.first_token, x.last_token) for x in spans.shared_spans(spans.shared_windows(frame, width=128), frame).collect()}
+    found = {(x.stream_id, x.first_token, x.last_token) for x in spans.shared_spans(spans.shared_windows(frame, width=128), frame, width=128).collect()}
+    assert found == {(x.stream_id, x.first_token, x.last_token) for x in spans.shared_spans(spans.shared_windows(frame), frame).collect()}
     assert found == {(1, 100, 399), (2, 0, 299), (3, 700, 789)}
 
 
