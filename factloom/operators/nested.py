@@ -108,19 +108,18 @@ def _project(v: str, shape: dict, parent: str, path: str, n: int, depth: int) ->
         else:
             below = NODE if kind[0] == "node" else kind[0]
             x, k, r = f"x{n}", f"k{n}", f"r{n}"
-            entry, container = f"concat({parent}, '/', {at}, ':', {k})", f"concat({parent}, '/', {at})"
-            inner = f"try_variant_get({x}, '$', 'array<variant>')"
-            own = _row(at, f"CASE WHEN {_is_object(x)} THEN 'record' ELSE 'value' END", parent, container, "-1", "''", k, entry, f"CASE WHEN NOT ({_is_object(x)}) THEN {x} END")
+            entry = f"concat({parent}, '/', {at}, ':', {k})"
+            own = _entry(x, k, "''", parent, at, n)
             if kind[0] == "node" and depth == 0:
-                rows.append(f"transform({_items(value, True)}, (x{n}, k{n}) -> {own})")
+                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> {own}))")
                 rest.append(f"transform({_items(value, True)}, (x{n}, k{n}) -> named_struct('node', {x}, 'id', {entry}, 'path', {at}))")
                 continue
             a, b = _project(x, below, r, at, n + 1, depth - (kind[0] == "node"))
             # The id is bound once per record, so that deeper levels refer to a name instead of repeating the expression.
             if a:
-                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> concat(array({own}), transform(array({entry}), {r} -> concat({', '.join(a)}))[0])))")
+                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> concat({own}, transform(array({entry}), {r} -> concat({', '.join(a)}))[0])))")
             else:
-                rows.append(f"transform({_items(value, True)}, (x{n}, k{n}) -> {own})")
+                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> {own}))")
             if b:
                 rest.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> transform(array({entry}), {r} -> concat({', '.join(b)}))[0]))")
     return rows, rest

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table, written
-from . import forest, nested
+from . import forest, json_sql, nested
 
 _FOUND = ["fact_id", "entry_kind", "parent_id", "container_id", "container_ordinal", "map_key", "entry_id"]
 
@@ -80,9 +80,65 @@ done AS (
 """
 
 
+def _nested_sql() -> str:
+    """Entries of all families: one common table per list, map or object, and a recursive one for the tree."""
+    d, f = json_sql.decoded, json_sql.field
+    ctes = [
+        "j0 AS (SELECT DISTINCT fact_id, family, CASE WHEN json_valid(payload) THEN TRY_CAST(payload AS JSON) END AS a FROM raw_fact WHERE payload IS NOT NULL)",
+        f"j1 AS (SELECT *, {d('a')} AS b FROM j0)", f"j2 AS (SELECT *, {d('b')} AS c FROM j1)", f"j3 AS (SELECT *, {d(f('c', 'fact'))} AS f FROM j2)",
+        "fact AS (SELECT fact_id, family, CASE WHEN json_type(f) = 'OBJECT' THEN f ELSE c END AS j FROM j3 WHERE json_type(c) = 'OBJECT')",
+    ]
+    parts: list[str] = []
+
+    def table_of(sql: str) -> str:
+        ctes.append(f"t{len(ctes)} AS ({sql})")
+        return f"t{len(ctes) - 1}"
+
+    def places(source: str) -> None:
+        """Rows of entries(fact_id, id, path, x, k, key)."""
+        kind = "CASE json_type(x) WHEN 'ARRAY' THEN 'container' WHEN 'OBJECT' THEN 'record' ELSE 'value' END"
+        entry = "id || '/' || path || ':' || k"
+        parts.append(f"SELECT fact_id, {kind} AS entry_kind, id AS parent_id, CASE json_type(x) WHEN 'ARRAY' THEN {entry} ELSE id || '/' || path END AS container_id, CASE json_type(x) WHEN 'ARRAY' THEN k ELSE -1 END AS container_ordinal, key AS map_key, {entry} AS entry_id FROM {source}")
+        inner = table_of(f"SELECT fact_id, {entry} AS entry, k, key, unnest(json_extract(x, '$[*]')) AS y, generate_subscripts(json_extract(x, '$[*]'), 1) - 1 AS j FROM {source} WHERE json_type(x) = 'ARRAY'")
+        parts.append(f"SELECT fact_id, 'value', entry, entry, k, key, entry || ':' || j FROM {inner}")
+
+    def walk(source: str, shape: dict, path: str) -> None:
+        """source: rows (fact_id, id, j) of objects."""
+        for name, kind in shape.items():
+            at = f"{path}.{name}" if path else name
+            value = f("j", name)
+            if isinstance(kind, dict):
+                walk(table_of(f"SELECT fact_id, id, {d(value)} AS j FROM {source}"), kind, at)
+            elif kind is map:
+                listed = table_of(f"SELECT fact_id, id, list_sort(list_filter({json_sql.pairs(value)}, lambda e: e.key IS NOT NULL)) AS m FROM {source}")
+                places(table_of(f"SELECT fact_id, id, '{at}' AS path, e.value AS x, k, e.key AS key FROM (SELECT fact_id, id, unnest(m) AS e, generate_subscripts(m, 1) - 1 AS k FROM {listed})"))
+            else:
+                listed = table_of(f"SELECT fact_id, id, {json_sql.items(value)} AS m FROM {source}")
+                own = table_of(f"SELECT fact_id, id, '{at}' AS path, unnest(m) AS x, generate_subscripts(m, 1) - 1 AS k, '' AS key FROM {listed}")
+                places(own)
+                if kind is not list:
+                    walk(table_of(f"SELECT fact_id, id || '/' || path || ':' || k AS id, x AS j FROM {own} WHERE json_type(x) = 'OBJECT'"), kind[0], at)
+
+    for family, shape in nested.SHAPES.items():
+        root = table_of(f"SELECT fact_id, fact_id AS id, j FROM fact WHERE family = '{family}'")
+        if family != "SyntaxFact":
+            walk(root, shape, "")
+            continue
+        children = json_sql.items(f("j", "children"))
+        ctes.append(
+            f"tree AS (SELECT fact_id, id, 'tree' AS path, {d(f('j', 'tree'))} AS j FROM {root} UNION ALL "
+            f"SELECT fact_id, id || '/' || path || '.children:' || k, path || '.children', x FROM (SELECT fact_id, id, path, unnest({children}) AS x, generate_subscripts({children}, 1) - 1 AS k FROM tree) WHERE json_type(x) = 'OBJECT')"
+        )
+        for name in ("modifiers", "children"):
+            m = json_sql.items(f("j", name))
+            places(table_of(f"SELECT fact_id, id, path || '.{name}' AS path, unnest({m}) AS x, generate_subscripts({m}, 1) - 1 AS k, '' AS key FROM tree"))
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT DISTINCT fact_id, entry_kind, parent_id, container_id, CAST(container_ordinal AS BIGINT) AS container_ordinal, map_key, entry_id FROM ({' UNION ALL '.join(parts)})"
+
+
 def oracle_sql() -> dict[str, str]:
     pairs = "SELECT kind, node AS descendant, depth, unnest(path[:-2]) AS node, generate_subscripts(path[:-2], 1) AS pos FROM done WHERE depth > 0"
     return {
+        "p1_found": _nested_sql(),
         "p4_found": _CHAINS + """SELECT kind AS tree_kind, node AS node_id, root_id, CAST(depth AS BIGINT) AS depth FROM done
 WHERE (kind, node) IN (SELECT 'expression', child_id FROM expression_edge UNION SELECT 'class', class_id FROM class_index)""",
         "p4_paths": _CHAINS + f""", pairs AS ({pairs}), below AS (SELECT kind, node, count(*) AS n FROM pairs GROUP BY ALL)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.facts import FactTable
+from ..operators.json_sql import as_bool as _bool, decoded as _decoded, field as _field, items as _items, pairs as _pairs
 from ..plans import engine
 from ..session import table, written
 from ..sources import domain as tables_of, payloads, python_source, surfaces
@@ -114,31 +115,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- SQL --------------------------------------------------------------------------------------------------------------
 
 
-def _field(j: str, name: str) -> str:
-    words = name.split("_")
-    styles = dict.fromkeys([name, words[0] + "".join(w.title() for w in words[1:]), "-".join(words), "".join(w.title() for w in words)])
-    return "coalesce(" + ", ".join(f"""json_extract({j}, '$."{s}"')""" for s in styles) + ")"
-
-
-def _decoded(x: str) -> str:
-    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid(json_extract_string({x}, '$')) AND json_type(TRY_CAST(json_extract_string({x}, '$') AS JSON)) IN ('ARRAY', 'OBJECT') THEN TRY_CAST(json_extract_string({x}, '$') AS JSON) ELSE {x} END"
-
-
-def _items(x: str) -> str:
-    d = f"({_decoded(x)})"
-    return f"CASE json_type({d}) WHEN 'ARRAY' THEN json_extract({d}, '$[*]') WHEN 'OBJECT' THEN [{d}] ELSE CAST([] AS JSON[]) END"
-
-
-def _pairs(x: str) -> str:
-    d = f"({_decoded(x)})"
-    return f"""CASE json_type({d}) WHEN 'OBJECT' THEN list_transform(json_keys({d}), lambda name_: {{'key': name_, 'value': json_extract({d}, '$."' || name_ || '"')}})
- WHEN 'ARRAY' THEN list_transform(json_extract({d}, '$[*]'), lambda e: {{'key': json_extract_string(e, '$.key'), 'value': json_extract(e, '$.value')}}) ELSE [] END"""
-
-
-def _bool(x: str) -> str:
-    return f"TRY_CAST(json_extract_string({x}, '$') AS BOOLEAN)"
-
-
 _T = lambda x: f"json_extract_string({x}, '$')"
 _OWNED = "coalesce(len(list_filter(owners, lambda x: json_type(x) <> 'NULL' AND length(trim(json_extract_string(x, '$'))) > 0)), 0) > 0"
 _PREPARED = f"""

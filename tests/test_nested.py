@@ -16,6 +16,7 @@ CASES = [
     ("ChangeFact", {"changes": {"review": {"approvals": {"reviewer": "r"}}, "verificationEvidence": ["e"]}}),
     ("SyntaxFact", {"tree": {"kind": "a", "children": [{"kind": "b", "modifiers": ["m"], "children": {"kind": "c"}}]}}),
     ("TestSuiteFact", {"strict_controls": {}, "markers": "[1, 2]"}),
+    ("DataAssetFact", {"assets": [["a", None], [], {"fields": [[1], 2, {"tags": {"x": 1}}]}]}),
     ("Unknown", {"assets": [1]}),
 ]
 
