@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.facts import FactTable
 from .contracts import FINDINGS, IMPORTS, NODES, REWRITES, SUMMARY, VALUES, Boolean, Category, Numeric, Policy, Result, Rule, conform, default_policy, schema
+from .shaping import Counting, Measure, located
 
 CATALOG: dict[str, Rule] = {}
 
@@ -58,28 +59,39 @@ class Report:
     imports: DataFrame
 
 
-def evaluate(one: Rule, tables: dict[str, FactTable], settings: dict | None = None) -> Result:
-    """The rule's own result, in its language's view of the tables."""
-    seen = [tables[f].restricted(one.language) if one.language else tables[f] for f in one.families]
-    return one.build(*seen, **(one.settings | (settings or {})))
+def evaluate(one: Rule, tables: dict[str, FactTable], settings: dict | None = None, views: dict | None = None) -> Result:
+    """The rule's own result, in its language's view of the tables. views keeps a language's tables for rules that share them."""
+    views = {} if views is None else views
 
+    def seen(family: str) -> FactTable:
+        if not one.language:
+            return tables[family]
+        if (family, one.language) not in views:
+            views[family, one.language] = tables[family].restricted(one.language)
+        return views[family, one.language]
 
-def compile_rule(one: Rule, order: int, tables: dict[str, FactTable], options: Options) -> Compiled:
-    result = evaluate(one, tables, options.settings.get(one.id))
+    return one.build(*map(seen, one.families), **(one.settings | (settings or {})))
+
+
+def compile_rule(one: Rule, order: int, tables: dict[str, FactTable], options: Options, result: Result | None = None) -> Compiled:
+    result = evaluate(one, tables, options.settings.get(one.id)) if result is None else result
     if (result.fix is None) != (one.safety is None):
         raise TypeError(f"{one.id} must state its repair safety exactly when it returns a fix")
-    values = result.values
+    values, findings = result.values, result.findings
     if options.paths is not None:
         values = values.join(options.paths.select("path").distinct(), "path", "left_semi")
-    if result.findings is not None:
-        counts = result.findings.groupBy("fact_id").agg(F.count("*").alias("_n"))
+    if findings is not None:
+        counts = findings.groupBy("fact_id").agg(F.count("*").alias("_n"))
         values = values.join(counts, "fact_id", "left").withColumn("finding_count", F.coalesce("_n", F.lit(0)))
-    policy = options.policies.get(one.id, one.policy)
-    failed, unassessed = policy.verdict() if isinstance(policy, (Boolean, Numeric, Category)) else (F.lit(False), F.lit(True))
+    failed, unassessed = _verdict(options.policies.get(one.id, one.policy))
     judged = conform(values, VALUES).withColumns({"failed": failed, "unassessed": unassessed, "rule_order": F.lit(order).cast("long"), "rule": F.lit(one.id)})
     return Compiled(one, order, judged, result)
 
 
+def _verdict(policy: Policy | None) -> tuple[Column, Column]:
+    return policy.verdict() if isinstance(policy, (Boolean, Numeric, Category)) else (F.lit(False), F.lit(True))
+
+
 def _union(frames: list[DataFrame], spark: SparkSession, columns: list[tuple[str, str]]) -> DataFrame:
     if not frames:
         return spark.createDataFrame([], schema(columns))
@@ -89,38 +101,128 @@ def _union(frames: list[DataFrame], spark: SparkSession, columns: list[tuple[str
     return out
 
 
-def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | None = None, catalog: dict[str, Rule] | None = None) -> Report:
-    """Evaluate every selected rule whose families are there; a rule without its families is skipped, not passed."""
-    options = options or Options()
-    catalog = CATALOG if catalog is None else catalog
-    chosen = [r for id, r in sorted(catalog.items()) if (options.select is None or id in options.select) and all(f in tables for f in r.families)]
-    compiled = [compile_rule(r, k, tables, options) for k, r in enumerate(chosen)]
-    key = [("rule_order", "long"), ("rule", "string")]
-    judged = _union([c.judged for c in compiled], spark, [*VALUES, ("failed", "boolean"), ("unassessed", "boolean"), *key])
+@dataclass
+class Part:
+    """What some rules of a run contribute: counts of every rule, failing values, and findings by rule."""
+
+    summaries: DataFrame
+    failures: DataFrame
+    findings: list[DataFrame]
+    compiled: list[Compiled] = field(default_factory=list)
+
+
+_KEY = [("rule_order", "long"), ("rule", "string")]
+_COUNTS = [(n, t) for n, t in SUMMARY if n != "rule"]
+
+
+def _facts(table: FactTable, options: Options) -> DataFrame:
+    facts = table.relation("facts")
+    return facts if options.paths is None else facts.join(options.paths.select("path").distinct(), "path", "left_semi")
+
+
+def _names(spark: SparkSession, rules: list[tuple[int, str]]) -> Column:
+    """rule_order to rule id, as an expression."""
+    return F.create_map(*(F.lit(x) for pair in rules for x in (int(pair[0]), pair[1])))[F.col("rule_order")]
+
+
+def _counting(spark: SparkSession, chosen: list[tuple[int, Rule, Counting, Policy | None]], options: Options) -> Part:
+    """Rules over one relation of one table: the relation is scanned once, each row tagged with the rules it meets."""
+    table, relation = chosen[0][2].table, chosen[0][2].relation
+    rows, facts = located(table.relation(relation)), _facts(table, options)
+    names = _names(spark, [(k, r.id) for k, r, _, _ in chosen])
+    tag = F.filter(F.array(*(F.when(c.condition, F.lit(k).cast("long")) for k, _, c, _ in chosen)), lambda x: x.isNotNull())
+    counts = rows.select("fact_id", F.explode(tag).alias("rule_order")).groupBy("rule_order", "fact_id").agg(F.count("*").alias("n")).join(facts.select("fact_id"), "fact_id", "left_semi")
+    most = F.create_map(*(F.lit(x) for k, _, _, p in chosen for x in (k, float(p.maximum) if p is not None else float("inf"))))[F.col("rule_order").cast("int")]
+    counts = counts.withColumn("failed", F.col("n") > most)
+    judged = counts.groupBy("rule_order").agg(F.sum(F.col("failed").cast("long")).alias("failure_count"), F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("finding_count"))
+    listed = spark.createDataFrame([(k, p is None) for k, _, _, p in chosen], "rule_order long, open boolean")
+    total = facts.agg(F.count("*").alias("observation_count"))
+    summaries = listed.join(judged, "rule_order", "left").fillna(0, ["failure_count", "finding_count"]).join(F.broadcast(total), F.lit(True)).withColumn("unassessed_count", F.when(F.col("open"), F.col("observation_count")).otherwise(0))
+    failing = counts.where("failed").select("rule_order", "fact_id", F.col("n").alias("integer_value"), F.col("n").alias("finding_count")).join(facts, "fact_id").withColumn("rule", names)
+    said = F.filter(F.array(*(F.when(c.condition, F.struct(F.lit(k).cast("long").alias("rule_order"), c.message.alias("message"))) for k, _, c, _ in chosen)), lambda x: x.isNotNull())
+    found = rows.select("*", F.explode(said).alias("_said")).withColumns({"rule_order": F.col("_said.rule_order"), "message": F.col("_said.message")})
+    place = F.row_number().over(Window.partitionBy("rule_order", "fact_id").orderBy("ordinal", "message")) - 1
+    details = conform(found.withColumns({"finding_order": place, "measurement_names": F.array().cast("array<string>"), "measurement_values": F.array().cast("array<double>"), "measurement_units": F.array().cast("array<string>"), "evidence": F.array().cast("array<string>"), "choice_options": F.array().cast("array<string>"), "rule": names}), [*FINDINGS, *_KEY])
+    return Part(conform(summaries, _COUNTS), conform(failing, [*VALUES, *_KEY]), [details])
+
+
+def _measures(spark: SparkSession, chosen: list[tuple[int, Rule, Measure, Policy | None]], options: Options) -> Part:
+    """Rules over the fact relation of one table: every fact is read once, with a row for each rule."""
+    table = chosen[0][2].table
+    facts = table.facts() if options.paths is None else table.facts().join(options.paths.select("path").distinct(), "path", "left_semi")
+    names = _names(spark, [(k, r.id) for k, r, _, _ in chosen])
+
+    def one(k: int, m: Measure) -> Column:
+        flag = m.output == "boolean"
+        return F.struct(F.lit(k).cast("long").alias("rule_order"), (F.lit(None) if flag else m.typed).cast("long").alias("integer_value"), (m.typed if flag else F.lit(None)).cast("boolean").alias("boolean_value"), m.shown.alias("shown"), m.message.alias("message"))
+
+    rows = facts.select("*", F.explode(F.array(*(one(k, m) for k, _, m, _ in chosen))).alias("_m")).select("*", "_m.*").withColumns({"float_value": F.lit(None).cast("double"), "category_value": F.lit(None).cast("string")})
+    failed, unassessed = F.lit(False), F.lit(True)
+    for k, _, _, policy in chosen:
+        f, u = _verdict(policy)
+        failed, unassessed = F.when(F.col("rule_order") == k, f).otherwise(failed), F.when(F.col("rule_order") == k, u).otherwise(unassessed)
+    judged = rows.withColumns({"failed": failed, "unassessed": unassessed, "finding_count": F.col("shown").cast("long"), "rule": names})
+    counts = judged.groupBy("rule_order").agg(F.count("*").alias("observation_count"), F.sum(F.col("unassessed").cast("long")).alias("unassessed_count"), F.sum(F.col("failed").cast("long")).alias("failure_count"), F.sum(F.when(F.col("failed"), F.col("finding_count")).otherwise(0)).alias("finding_count"))
+    listed = spark.createDataFrame([(k,) for k, _, _, _ in chosen], "rule_order long")
+    value = F.col("integer_value").cast("double")
+    unit = F.create_map(*(F.lit(x) for k, _, m, _ in chosen for x in (k, m.unit)))[F.col("rule_order").cast("int")]
+    some = lambda c, t: F.when(F.col("boolean_value").isNull(), F.array(c)).otherwise(F.array()).cast(f"array<{t}>")
+    details = judged.where("shown").withColumns({"finding_order": F.lit(0).cast("long"), "measurement_names": some(unit, "string"), "measurement_values": some(value, "double"), "measurement_units": some(unit, "string"), "choice_options": F.array().cast("array<string>")})
+    return Part(conform(listed.join(counts, "rule_order", "left").fillna(0), _COUNTS), conform(judged.where("failed"), [*VALUES, *_KEY]), [conform(details, [*FINDINGS, *_KEY])])
+
+
+def _others(spark: SparkSession, compiled: list[Compiled]) -> Part:
+    """Rules with results of their own: one union of all."""
+    judged = _union([c.judged for c in compiled], spark, [*VALUES, ("failed", "boolean"), ("unassessed", "boolean"), *_KEY])
     # Left join on the rule list: a rule without a single fact still has a summary.
-    listed = spark.createDataFrame([(c.order, c.rule.id) for c in compiled], "rule_order long, rule string")
+    listed = spark.createDataFrame([(c.order,) for c in compiled], "rule_order long")
     counted = judged.groupBy("rule_order").agg(
         F.count("*").alias("observation_count"), F.sum(F.col("unassessed").cast("long")).alias("unassessed_count"), F.sum(F.col("failed").cast("long")).alias("failure_count"),
         F.sum(F.when(F.col("failed"), F.col("finding_count")).otherwise(0)).alias("finding_count"),
     )
-    summaries = conform(listed.join(counted, "rule_order", "left").fillna(0), SUMMARY)
-    failures = judged.where("failed").drop("failed", "unassessed")
+    found = [conform(c.result.findings, FINDINGS).withColumns({"rule_order": F.lit(c.order).cast("long"), "rule": F.lit(c.rule.id)}) for c in compiled if c.result.findings is not None]
+    return Part(conform(listed.join(counted, "rule_order", "left").fillna(0), _COUNTS), judged.where("failed").drop("failed", "unassessed"), found, compiled)
+
+
+def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | None = None, catalog: dict[str, Rule] | None = None, fuse: bool = True) -> Report:
+    """Evaluate every selected rule whose families are there; a rule without its families is skipped, not passed.
+
+    fuse: rules that count rows of one relation, or measure facts of one table, share one scan. The results are the same.
+    """
+    options = options or Options()
+    catalog = CATALOG if catalog is None else catalog
+    chosen = [r for id, r in sorted(catalog.items()) if (options.select is None or id in options.select) and all(f in tables for f in r.families)]
+    views: dict = {}
+    shared: dict[tuple, list] = {}
+    alone: list[Compiled] = []
+    for k, r in enumerate(chosen):
+        result = evaluate(r, tables, options.settings.get(r.id), views)
+        policy = options.policies.get(r.id, r.policy)
+        if fuse and r.safety is None and isinstance(result, Counting) and (policy is None or isinstance(policy, Numeric) and policy.minimum is None and policy.maximum is not None and policy.maximum >= 0):
+            shared.setdefault(("counting", id(result.table), result.relation), []).append((k, r, result, policy))
+        elif fuse and r.safety is None and isinstance(result, Measure):
+            shared.setdefault(("measure", id(result.table)), []).append((k, r, result, policy))
+        else:
+            alone.append(compile_rule(r, k, tables, options, result))
+    parts = [(_counting if key[0] == "counting" else _measures)(spark, group, options) for key, group in shared.items()]
+    if alone or not parts:
+        parts.append(_others(spark, alone))
+    listed = spark.createDataFrame([(k, r.id) for k, r in enumerate(chosen)], "rule_order long, rule string")
+    summaries = conform(_union([p.summaries for p in parts], spark, _COUNTS).join(listed, "rule_order"), SUMMARY)
+    failures = conform(_union([p.failures for p in parts], spark, [*VALUES, *_KEY]), [*VALUES, *_KEY])
     if options.limit is not None:
         failures = failures.orderBy("fact_order", "rule_order", "fact_id").limit(options.limit)
     kept = failures.select("rule", "fact_id", "fact_order")
+    fixes = [c for p in parts for c in p.compiled if c.result.fix]
+
+    def details(frames: list[DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
+        return _union(frames, spark, [*columns, *_KEY]).join(kept, ["rule", "fact_id"])
+
+    def of(relation: str, columns: list[tuple[str, str]]) -> DataFrame:
+        rows = [(c, getattr(c.result.fix, relation)) for c in fixes]
+        return details([f.withColumns({"rule_order": F.lit(c.order).cast("long"), "rule": F.lit(c.rule.id)}) for c, f in rows if f is not None], columns)
 
-    def details(frames: list[tuple[Compiled, DataFrame]], columns: list[tuple[str, str]], on: list[str]) -> DataFrame:
-        rows = _union([f.withColumns({"rule_order": F.lit(c.order).cast("long"), "rule": F.lit(c.rule.id)}) for c, f in frames], spark, [*columns, *key])
-        return rows.join(kept, on)
-
-    return Report(
-        summaries,
-        failures,
-        details([(c, conform(c.result.findings, FINDINGS)) for c in compiled if c.result.findings is not None], FINDINGS, ["rule", "fact_id"]),
-        details([(c, c.result.fix.rewrites) for c in compiled if c.result.fix], REWRITES, ["rule", "fact_id"]),
-        details([(c, c.result.fix.nodes) for c in compiled if c.result.fix and c.result.fix.nodes is not None], NODES, ["rule", "fact_id"]),
-        details([(c, c.result.fix.imports) for c in compiled if c.result.fix and c.result.fix.imports is not None], IMPORTS, ["rule", "fact_id"]),
-    )
+    return Report(summaries, failures, details([f for p in parts for f in p.findings], FINDINGS), of("rewrites", REWRITES), of("nodes", NODES), of("imports", IMPORTS))
 
 
 def with_settings(one: Rule, **settings) -> Rule:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.facts import FactTable
 from .contracts import FINDINGS, IMPORTS, NODES, REWRITES, VALUES, Fix, Result, conform
 
 
@@ -49,3 +50,63 @@ def findings(rows: DataFrame, message: Column, measurements: tuple[tuple[str, Co
 
 def fix(rewrites: DataFrame, nodes: DataFrame | None = None, imports: DataFrame | None = None, summary: str = "") -> Fix:
     return Fix(conform(rewrites, REWRITES), None if nodes is None else conform(nodes, NODES), None if imports is None else conform(imports, IMPORTS), summary)
+
+
+# --- results that several rules can share one scan for ----------------------------------------------------------------
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Child rows with a span: their line, from its start to its end."""
+    if "start_line" in rows.columns:
+        return rows
+    line = F.col("line") if "line" in rows.columns else F.lit(1)
+    return rows.withColumns({"start_line": line.cast("long"), "start_column": F.lit(0).cast("long"), "end_line": line.cast("long"), "end_column": F.lit(0).cast("long")})
+
+
+class Counting:
+    """The number of a relation's rows that meet a condition, per fact. Rules over one relation are judged in one scan of it."""
+
+    output, fix = "integer", None
+
+    def __init__(self, table: FactTable, relation: str, condition: Column, message: Column):
+        self.table, self.relation, self.condition, self.message = table, relation, condition, message
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.table.relation(self.relation).where(self.condition)
+
+    @property
+    def values(self) -> DataFrame:
+        return integer(self.table.counted(self.rows), "count").values
+
+    @property
+    def findings(self) -> DataFrame:
+        return findings(located(self.rows), self.message)
+
+
+class Measure:
+    """A value of every fact from its own columns. Rules over one fact relation are judged in one scan of it."""
+
+    fix = None
+
+    def __init__(self, table: FactTable, value: Column, message: Column, output: str, unit: str = "count"):
+        self.table, self.value, self.message, self.output, self.unit = table, value, message, output, unit
+
+    @property
+    def shown(self) -> Column:
+        """Which facts have a finding: those whose flag holds, or all that have a value."""
+        return F.coalesce(self.value, F.lit(False)) if self.output == "boolean" else F.lit(True)
+
+    @property
+    def typed(self) -> Column:
+        return F.coalesce(self.value, F.lit(False)) if self.output == "boolean" else self.value.cast("long")
+
+    @property
+    def values(self) -> DataFrame:
+        facts = self.table.facts()
+        return boolean(facts, self.typed).values if self.output == "boolean" else integer(facts, self.typed, count=F.lit(1)).values
+
+    @property
+    def findings(self) -> DataFrame:
+        measured = () if self.output == "boolean" else ((self.unit, self.typed, self.unit),)
+        return findings(self.table.facts().where(self.shown), self.message, measured, order=F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..operators.facts import FactTable, any_of
 from ..plans.contracts import Result
 from ..plans.engine import rule
-from .shape import counted, text
+from .shape import counted, counted_where, text
 
 # Callables the rules look for.
 BLOCKING = ("requests.get", "requests.post", "requests.put", "requests.delete", "requests.request", "urllib.request.urlopen", "subprocess.run", "subprocess.check_output", "subprocess.check_call", "socket.create_connection")
@@ -19,7 +19,7 @@ SHELLS = ("os.system", "os.popen", "subprocess.getoutput", "subprocess.getstatus
 
 
 def _calls(modules: FactTable, condition: Column, message: Column) -> Result:
-    return counted(modules, modules.relation("call").where(condition), message)
+    return counted_where(modules, "call", condition, message)
 
 
 def _named(*names: str) -> Column:

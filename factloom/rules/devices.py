@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..operators.facts import FactTable
 from ..plans.contracts import Result
 from ..plans.engine import rule
-from .shape import counted, text
+from .shape import counted, counted_where, text
 
 # Callables of device libraries.
 STREAMS = r"(?:^|\.)(?:Stream|stream|create_stream|ExternalStream)$"
@@ -17,9 +17,10 @@ TRANSFERS = r"(?:^|\.)(?:to_device|copy_to_host|copy_to_device)$"
 
 
 def _found(modules: FactTable, condition: Column, message: Column, with_streams: bool = False) -> Result:
+    if not with_streams:
+        return counted_where(modules, "call", condition, message)
     rows = modules.relation("call").where(condition)
-    if with_streams:
-        rows = rows.join(modules.relation("call").where(F.col("callee").rlike(STREAMS)).select("fact_id").distinct(), "fact_id", "left_semi")
+    rows = rows.join(modules.relation("call").where(F.col("callee").rlike(STREAMS)).select("fact_id").distinct(), "fact_id", "left_semi")
     return counted(modules, rows, message)
 
 

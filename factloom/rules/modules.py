@@ -8,7 +8,7 @@ from ..operators.facts import FactTable
 from ..plans import shaping
 from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
-from .shape import counted, flag, measured, text
+from .shape import counted, counted_where, flag, measured, text
 
 @rule("ALL-MODU0001", "ModuleFact", policy=Numeric(maximum=500))
 def module_line_count(modules: FactTable) -> Result:
@@ -90,20 +90,20 @@ def constant_order(modules: FactTable) -> Result:
 @rule("PY-CONS0001", "ModuleFact", language="python")
 def public_module_constant(modules: FactTable) -> Result:
     """Public module constants."""
-    return counted(modules, modules.relation("binding").where(F.col("is_constant") & ~F.col("name").startswith("_")), text("`", F.col("name"), "` is a public constant"))
+    return counted_where(modules, "binding", F.col("is_constant") & ~F.col("name").startswith("_"), text("`", F.col("name"), "` is a public constant"))
 
 
 @rule("PY-CONS0002", "ModuleFact", language="python")
 def cross_module_constant_import(modules: FactTable) -> Result:
     """Constants imported from another module of the project (a relative import)."""
-    return counted(modules, modules.relation("import").where(F.col("is_from") & (F.col("level") > 0) & F.col("name").rlike(r"^[A-Z][A-Z0-9_]+$")), text("`", F.col("name"), "` is a constant of another module"))
+    return counted_where(modules, "import", F.col("is_from") & (F.col("level") > 0) & F.col("name").rlike(r"^[A-Z][A-Z0-9_]+$"), text("`", F.col("name"), "` is a constant of another module"))
 
 
 @rule("PY-IMPO0002", "ModuleFact", language="python")
 def project_private_import(modules: FactTable) -> Result:
     """Import of a private module or member."""
     private = F.exists(F.split(F.coalesce("module", F.lit("")), r"\."), lambda x: x.rlike("^_[^_]")) | F.coalesce(F.col("name").rlike("^_[^_]"), F.lit(False))
-    return counted(modules, modules.relation("import").where(private), text("`", F.col("module"), "` is private"))
+    return counted_where(modules, "import", private, text("`", F.col("module"), "` is private"))
 
 
 @rule("PY-IMPO0003", "ModuleFact", language="python", safety="review")
@@ -121,7 +121,7 @@ def unused_import(modules: FactTable) -> Result:
 @rule("PY-IMPO0004", "ModuleFact", language="python")
 def relative_import_beyond_package(modules: FactTable) -> Result:
     """A relative import with more dots than its file has directories."""
-    return counted(modules, modules.relation("import").where(F.col("level") > F.size(F.split("path", "/")) - 1), text("the import leaves its package"))
+    return counted_where(modules, "import", F.col("level") > F.size(F.split("path", "/")) - 1, text("the import leaves its package"))
 
 
 @rule("PY-IMPO0005", "ModuleFact", policy=Numeric(maximum=3), language="python")
@@ -143,20 +143,20 @@ def conftest_import(modules: FactTable, allowed_modules: tuple[str, ...] = ()) -
 @rule("PY-TYPE0001", "ModuleFact", language="python")
 def future_annotations_import(modules: FactTable) -> Result:
     """`from __future__ import annotations`."""
-    return counted(modules, modules.relation("import").where("module = '__future__' AND name = 'annotations'"), text("annotations are imported from the future"))
+    return counted_where(modules, "import", F.expr("module = '__future__' AND name = 'annotations'"), text("annotations are imported from the future"))
 
 
 @rule("PY-TYPE0002", "ModuleFact", language="python")
 def nullable_boolean_annotation(modules: FactTable) -> Result:
     """A Boolean that may be None."""
-    return counted(modules, modules.relation("annotation").where("nullable_boolean"), text("`", F.col("text"), "` has three values"))
+    return counted_where(modules, "annotation", F.expr("nullable_boolean"), text("`", F.col("text"), "` has three values"))
 
 
 @rule("PY-TYPE0004", "ModuleFact", language="python")
 def prohibited_annotation(modules: FactTable, prohibited: tuple[str, ...] = ("Any", "object")) -> Result:
     """Forbidden names in annotations."""
     hit = F.exists("names", lambda x: F.substring_index(x, ".", -1).isin(*prohibited))
-    return counted(modules, modules.relation("annotation").where(hit), text("`", F.col("text"), "` says nothing"))
+    return counted_where(modules, "annotation", hit, text("`", F.col("text"), "` says nothing"))
 
 
 @rule("PY-TYPE0007", "ModuleFact", language="python")

@@ -7,14 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.facts import FactTable
 from ..plans import shaping
 from ..plans.contracts import Result
-
-
-def located(rows: DataFrame) -> DataFrame:
-    """Child rows with a span: their line, from its start to its end."""
-    if "start_line" in rows.columns:
-        return rows
-    line = F.col("line") if "line" in rows.columns else F.lit(1)
-    return rows.withColumns({"start_line": line.cast("long"), "start_column": F.lit(0).cast("long"), "end_line": line.cast("long"), "end_column": F.lit(0).cast("long")})
+from ..plans.shaping import Counting, Measure, located
 
 
 def counted(table: FactTable, rows: DataFrame, message: Column, measurements: tuple = ()) -> Result:
@@ -22,16 +15,19 @@ def counted(table: FactTable, rows: DataFrame, message: Column, measurements: tu
     return shaping.integer(table.counted(rows), "count", shaping.findings(located(rows), message, measurements))
 
 
-def flag(table: FactTable, condition: Column, message: Column) -> Result:
+def counted_where(table: FactTable, relation: str, condition: Column, message: Column) -> Counting:
+    """The number of a relation's rows that meet a condition, with a finding for each."""
+    return Counting(table, relation, condition, message)
+
+
+def flag(table: FactTable, condition: Column, message: Column) -> Measure:
     """Whether a condition holds for a fact, with a finding where it does; null conditions are false."""
-    facts = table.facts().withColumn("_flag", F.coalesce(condition, F.lit(False)))
-    return shaping.boolean(facts, "_flag", shaping.findings(facts.where("_flag"), message, order=F.lit(0)))
+    return Measure(table, condition, message, "boolean")
 
 
-def measured(table: FactTable, value: Column, message: Column, unit: str = "count") -> Result:
+def measured(table: FactTable, value: Column, message: Column, unit: str = "count") -> Measure:
     """An integer of each fact, with one finding that states it."""
-    facts = table.facts().withColumn("_value", value.cast("long"))
-    return shaping.integer(facts, F.col("_value"), shaping.findings(facts, message, ((unit, F.col("_value"), unit),), order=F.lit(0)), F.lit(1))
+    return Measure(table, value, message, "integer", unit)
 
 
 def highest(table: FactTable, rows: DataFrame, value: str, message: Column) -> Result:

@@ -8,7 +8,7 @@ from ..operators.facts import FactTable
 from ..operators.text import secret_name
 from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
-from .shape import counted, flag, highest, text
+from .shape import counted, counted_where, flag, highest, text
 
 # Base errors of the language, generators that are no secret source.
 BASE_ERRORS = ("Exception", "BaseException", "Error")
@@ -19,13 +19,13 @@ PLACEHOLDER = r"(?i)^['\"]\s*(?:|none|null|changeme|change_me|todo|xxx|example|.
 @rule("ALL-BRAN0001", "ModuleFact")
 def value_dispatch_candidate(modules: FactTable, minimum_arms: int = 3) -> Result:
     """A chain that compares one subject with distinct literals."""
-    return counted(modules, modules.relation("branch").where((F.col("arms") >= minimum_arms) & (F.col("literals") == F.col("arms"))), text("`", F.col("subject"), "` is looked up by ", F.col("arms"), " comparisons"))
+    return counted_where(modules, "branch", (F.col("arms") >= minimum_arms) & (F.col("literals") == F.col("arms")), text("`", F.col("subject"), "` is looked up by ", F.col("arms"), " comparisons"))
 
 
 @rule("ALL-CONT0001", "ModuleFact")
 def superfluous_else_after_jump(modules: FactTable) -> Result:
     """An else after a branch that always leaves."""
-    return counted(modules, modules.relation("block").where("else_after_jump"), text("the else is not needed"))
+    return counted_where(modules, "block", F.expr("else_after_jump"), text("the else is not needed"))
 
 
 @rule("ALL-CONT0002", "ModuleFact")
@@ -56,31 +56,31 @@ def external_nonpublic_attribute_access(modules: FactTable, allowed: tuple[str,
 @rule("ALL-ERRO0001", "ModuleFact")
 def swallowed_error(modules: FactTable) -> Result:
     """A handler that does nothing."""
-    return counted(modules, modules.relation("handler").where("is_inert"), text("the error is swallowed"))
+    return counted_where(modules, "handler", F.expr("is_inert"), text("the error is swallowed"))
 
 
 @rule("ALL-ERRO0002", "ModuleFact")
 def raise_without_cause(modules: FactTable) -> Result:
     """A raise in a handler that names neither the caught error nor a cause."""
-    return counted(modules, modules.relation("raise").where("in_handler AND NOT has_cause AND NOT names_alias"), text("`", F.col("type"), "` loses its cause"))
+    return counted_where(modules, "raise", F.expr("in_handler AND NOT has_cause AND NOT names_alias"), text("`", F.col("type"), "` loses its cause"))
 
 
 @rule("ALL-ERRO0003", "ModuleFact")
 def vanilla_error_type(modules: FactTable, base_errors: tuple[str, ...] = BASE_ERRORS) -> Result:
     """A raise of the language's base error."""
-    return counted(modules, modules.relation("raise").where(F.col("type").isin(*base_errors)), text("`", F.col("type"), "` says nothing"))
+    return counted_where(modules, "raise", F.col("type").isin(*base_errors), text("`", F.col("type"), "` says nothing"))
 
 
 @rule("ALL-ERRO0004", "ModuleFact")
 def raise_inside_guarded_region(modules: FactTable) -> Result:
     """A handler that catches what its own region raises."""
-    return counted(modules, modules.relation("handler").where("catches_own"), text("the region catches its own error"))
+    return counted_where(modules, "handler", F.expr("catches_own"), text("the region catches its own error"))
 
 
 @rule("PY-EXCE0001", "ModuleFact", language="python")
 def broad_try_literal_setup(modules: FactTable) -> Result:
     """Literal assignments inside a try before the statement that may raise."""
-    return counted(modules, modules.relation("try").where("literal_setup > 0"), text(F.col("literal_setup"), " assignments cannot raise"))
+    return counted_where(modules, "try", F.expr("literal_setup > 0"), text(F.col("literal_setup"), " assignments cannot raise"))
 
 
 @rule("PY-EXCE0002", "ModuleFact", policy=Numeric(maximum=1), language="python")
@@ -92,7 +92,7 @@ def bounded_exception_region(modules: FactTable) -> Result:
 @rule("PY-EXCE0004", "ModuleFact", language="python")
 def nullable_exception_return(modules: FactTable) -> Result:
     """A handler that only returns None."""
-    return counted(modules, modules.relation("handler").where("returns_none AND guarded = 1"), text("the error becomes None"))
+    return counted_where(modules, "handler", F.expr("returns_none AND guarded = 1"), text("the error becomes None"))
 
 
 @rule("PY-COMP0001", "ModuleFact", policy=Numeric(maximum=2), language="python")
@@ -104,13 +104,13 @@ def comprehension_loop_count(modules: FactTable) -> Result:
 @rule("ALL-NAMI0001", "ModuleFact")
 def uninformative_local_name(modules: FactTable, minimum_length: int = 3, indexes: tuple[str, ...] = ("i", "j", "k", "x", "y", "z", "_")) -> Result:
     """Bound names that are shorter than a minimum and no conventional index."""
-    return counted(modules, modules.relation("binding").where((F.length("name") < minimum_length) & ~F.col("name").isin(*indexes)), text("`", F.col("name"), "` says nothing"))
+    return counted_where(modules, "binding", (F.length("name") < minimum_length) & ~F.col("name").isin(*indexes), text("`", F.col("name"), "` says nothing"))
 
 
 @rule("ALL-SECU0003", "ModuleFact")
 def unseeded_randomness_for_secrets(modules: FactTable) -> Result:
     """A secret-looking name fed by a predictable generator."""
-    return counted(modules, modules.relation("binding").where(secret_name(F.col("name")) & F.col("value_text").rlike(RANDOM)), text("`", F.col("name"), "` is predictable"))
+    return counted_where(modules, "binding", secret_name(F.col("name")) & F.col("value_text").rlike(RANDOM), text("`", F.col("name"), "` is predictable"))
 
 
 @rule("ALL-SECU0004", "ModuleFact")
@@ -123,7 +123,7 @@ def credential_written_into_source(modules: FactTable) -> Result:
 @rule("ALL-STRI0001", "ModuleFact")
 def fragmented_multiline_literal(modules: FactTable, minimum_fragments: int = 2) -> Result:
     """A literal of several pieces on several lines."""
-    return counted(modules, modules.relation("literal").where(F.col("fragments") >= minimum_fragments), text("a literal of ", F.col("fragments"), " pieces"))
+    return counted_where(modules, "literal", F.col("fragments") >= minimum_fragments, text("a literal of ", F.col("fragments"), " pieces"))
 
 
 @rule("ALL-DUPL0002", "ModuleFact")

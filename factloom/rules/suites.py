@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.facts import FactTable
 from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
-from .shape import counted, highest, text
+from .shape import counted, counted_where, highest, text
 
 
 def _tests(modules: FactTable) -> DataFrame:
@@ -27,7 +27,7 @@ def _at(groups: DataFrame) -> DataFrame:
 @rule("PY-TEST0002", "ModuleFact", language="python")
 def legacy_tmpdir_fixture(modules: FactTable) -> Result:
     """Tests that ask for a legacy temporary-directory fixture."""
-    return counted(modules, modules.relation("test").where(F.arrays_overlap("fixtures", F.array(F.lit("tmpdir"), F.lit("tmpdir_factory")))), text("`", F.col("name"), "` asks for tmpdir"))
+    return counted_where(modules, "test", F.arrays_overlap("fixtures", F.array(F.lit("tmpdir"), F.lit("tmpdir_factory"))), text("`", F.col("name"), "` asks for tmpdir"))
 
 
 @rule("PY-TEST0003", "ModuleFact", language="python")
@@ -40,7 +40,7 @@ def parametrization_candidate(modules: FactTable, minimum_cases: int = 3, maximu
 @rule("PY-TEST0008", "ModuleFact", language="python")
 def shared_test_state_mutation(modules: FactTable) -> Result:
     """Tests that rebind module state."""
-    return counted(modules, modules.relation("test").where("mutates"), text("`", F.col("name"), "` changes module state"))
+    return counted_where(modules, "test", F.expr("mutates"), text("`", F.col("name"), "` changes module state"))
 
 
 @rule("PY-TEST0011", "ModuleFact", policy=Numeric(maximum=2), language="python")
@@ -58,13 +58,13 @@ def owned_test_statements(modules: FactTable) -> Result:
 @rule("PY-TEST0013", "ModuleFact", language="python")
 def manual_literal_case_loop(modules: FactTable, minimum_cases: int = 3) -> Result:
     """A loop over literals that asserts."""
-    return counted(modules, modules.relation("test").where(F.col("literal_loop") >= minimum_cases), text("`", F.col("name"), "` loops over ", F.col("literal_loop"), " cases"))
+    return counted_where(modules, "test", F.col("literal_loop") >= minimum_cases, text("`", F.col("name"), "` loops over ", F.col("literal_loop"), " cases"))
 
 
 @rule("PY-TEST0014", "ModuleFact", language="python")
 def finite_range_candidate(modules: FactTable, minimum_cases: int = 10) -> Result:
     """Parametrization over a long fixed range."""
-    return counted(modules, modules.relation("test").where(F.col("range_cases") >= minimum_cases), text("`", F.col("name"), "` runs ", F.col("range_cases"), " cases"))
+    return counted_where(modules, "test", F.col("range_cases") >= minimum_cases, text("`", F.col("name"), "` runs ", F.col("range_cases"), " cases"))
 
 
 @rule("PY-TEST0015", "ModuleFact", language="python")
@@ -95,7 +95,7 @@ def production_reach_hotspot(modules: FactTable, minimum_tests: int = 8) -> Resu
 @rule("PY-ENUM0001", "ModuleFact", language="python")
 def redundant_enum_value(modules: FactTable) -> Result:
     """String members whose value is their name in lower case."""
-    return counted(modules, modules.relation("enum").where((F.col("base") == "StrEnum") & (F.regexp_replace("value", "^['\"]|['\"]$", "") == F.lower("member"))), text("`", F.col("member"), "` could be auto()"))
+    return counted_where(modules, "enum", (F.col("base") == "StrEnum") & (F.regexp_replace("value", "^['\"]|['\"]$", "") == F.lower("member")), text("`", F.col("member"), "` could be auto()"))
 
 
 @rule("PY-ENUM0004", "ModuleFact", language="python")
@@ -155,4 +155,4 @@ def shared_exception_placement(modules: FactTable, minimum_importing_modules: in
 def internal_absolute_import(modules: FactTable) -> Result:
     """Absolute imports of the file's own top package."""
     own = F.split("path", "/")[0]
-    return counted(modules, modules.relation("import").where((F.col("level") == 0) & F.col("path").contains("/") & (F.substring_index("module", ".", 1) == own)), text("`", F.col("module"), "` is the file's own package"))
+    return counted_where(modules, "import", (F.col("level") == 0) & F.col("path").contains("/") & (F.substring_index("module", ".", 1) == own), text("`", F.col("module"), "` is the file's own package"))

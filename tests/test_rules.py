@@ -138,3 +138,14 @@ def test_walk_and_directories(spark, tmp_path):
 def test_diagram(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "source string, target string")
     assert repository.node_link(edges).count("-->") == 2 and "->" in repository.node_link(edges, "d2")
+
+
+def test_shared_scans_give_the_same_results(spark, tables):
+    some = ["ALL-BRAN0001", "ALL-CONT0002", "ALL-ERRO0001", "ALL-SECU0002", "ALL-CALL0001", "PY-CONS0001", "ALL-MODU0001", "ALL-MODU0003", "ALL-MODU0005", "ALL-FUNC0008", "PY-DEAD0001", "ALL-TEST0003", "ALL-PARA0001"]
+    only = spark.createDataFrame([("pkg/app.py",), ("pkg/pkg.py",)], "path string")
+    for paths in (None, only):
+        options = engine.Options(select=some, limit=None, paths=paths, policies={"ALL-SECU0002": None})
+        one, two = (engine.run(spark, tables, options, fuse=f) for f in (True, False))
+        for name, keys in (("summaries", ["rule", "observation_count", "unassessed_count", "failure_count", "finding_count"]), ("failures", ["rule", "fact_id", "integer_value", "boolean_value", "finding_count", "path"]), ("findings", ["rule", "fact_id", "finding_order", "message", "start_line", "measurement_values"])):
+            a, b = (sorted(map(str, getattr(r, name).select(*keys).collect())) for r in (one, two))
+            assert a == b, name
