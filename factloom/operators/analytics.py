@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import columns as C
 from ..session import table
 from . import clones, forest, graphs, history, prose, quantiles, text
+from .queries import CHAINS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -283,7 +284,7 @@ def dupl_clone_sizes(spark: SparkSession, d: str) -> DataFrame:
 # --- classes, calls and scans -----------------------------------------------------------------------------------------
 
 
-@query()
+@query(CHAINS.replace("'expression' AS kind, child_id AS node, parent_id AS parent FROM expression_edge", "'class' AS kind, NULL AS node, NULL AS parent") + "SELECT node AS class_id, CAST(depth AS BIGINT) AS ancestors FROM done WHERE node IN (SELECT class_id FROM class_index)")
 def clas_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Number of ancestors of each class; -1 where its chain never ends."""
     edges, classes = table(spark, d, "expression_edge"), table(spark, d, "class_index")

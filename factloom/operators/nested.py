@@ -82,7 +82,7 @@ def _entry(x: str, k: str, key: str, parent: str, path: str, n: int) -> str:
     """Rows of one entry of a list or map of values: a value, or a container with its values."""
     entry, container = f"concat({parent}, '/', {path}, ':', {k})", f"concat({parent}, '/', {path})"
     inner = f"try_variant_get({x}, '$', 'array<variant>')"
-    own = _row(path, f"CASE WHEN {inner} IS NOT NULL THEN 'container' WHEN {_is_object(x)} THEN 'record' ELSE 'value' END", parent, f"CASE WHEN {inner} IS NOT NULL THEN {entry} ELSE {container} END", f"CASE WHEN {inner} IS NOT NULL THEN {k} ELSE -1 END", key, k, entry, f"CASE WHEN {inner} IS NULL THEN {x} END")
+    own = _row(path, f"CASE WHEN {inner} IS NOT NULL THEN 'container' WHEN {_is_object(x)} THEN 'record' ELSE 'value' END", parent, f"CASE WHEN {inner} IS NOT NULL THEN {entry} ELSE {container} END", f"CASE WHEN {inner} IS NOT NULL THEN {k} ELSE -1 END", key, k, entry, f"CASE WHEN {inner} IS NULL AND NOT ({_is_object(x)}) THEN {x} END")
     below = _row(path, "'value'", entry, entry, k, key, f"j{n}", f"concat({entry}, ':', j{n})", f"y{n}")
     return f"concat(array({own}), transform(coalesce({inner}, array()), (y{n}, j{n}) -> {below}))"
 

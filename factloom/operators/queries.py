@@ -59,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
-_CHAINS = """
+CHAINS = """
 WITH RECURSIVE stated AS (
   SELECT 'expression' AS kind, child_id AS node, parent_id AS parent FROM expression_edge
   UNION ALL SELECT 'class', class_id, NULL FROM class_index
@@ -80,7 +80,7 @@ done AS (
 """
 
 
-def _nested_sql() -> str:
+def _nested_sql(select: str) -> str:
     """Entries of all families: one common table per list, map or object, and a recursive one for the tree."""
     d, f = json_sql.decoded, json_sql.field
     ctes = [
@@ -98,9 +98,9 @@ def _nested_sql() -> str:
         """Rows of entries(fact_id, id, path, x, k, key)."""
         kind = "CASE json_type(x) WHEN 'ARRAY' THEN 'container' WHEN 'OBJECT' THEN 'record' ELSE 'value' END"
         entry = "id || '/' || path || ':' || k"
-        parts.append(f"SELECT fact_id, {kind} AS entry_kind, id AS parent_id, CASE json_type(x) WHEN 'ARRAY' THEN {entry} ELSE id || '/' || path END AS container_id, CASE json_type(x) WHEN 'ARRAY' THEN k ELSE -1 END AS container_ordinal, key AS map_key, {entry} AS entry_id FROM {source}")
-        inner = table_of(f"SELECT fact_id, {entry} AS entry, k, key, unnest(json_extract(x, '$[*]')) AS y, generate_subscripts(json_extract(x, '$[*]'), 1) - 1 AS j FROM {source} WHERE json_type(x) = 'ARRAY'")
-        parts.append(f"SELECT fact_id, 'value', entry, entry, k, key, entry || ':' || j FROM {inner}")
+        parts.append(f"SELECT fact_id, {kind} AS entry_kind, id AS parent_id, CASE json_type(x) WHEN 'ARRAY' THEN {entry} ELSE id || '/' || path END AS container_id, CASE json_type(x) WHEN 'ARRAY' THEN k ELSE -1 END AS container_ordinal, key AS map_key, {entry} AS entry_id, path AS relation, k AS ordinal FROM {source}")
+        inner = table_of(f"SELECT fact_id, {entry} AS entry, path, k, key, unnest(json_extract(x, '$[*]')) AS y, generate_subscripts(json_extract(x, '$[*]'), 1) - 1 AS j FROM {source} WHERE json_type(x) = 'ARRAY'")
+        parts.append(f"SELECT fact_id, 'value', entry, entry, k, key, entry || ':' || j, path, j FROM {inner}")
 
     def walk(source: str, shape: dict, path: str) -> None:
         """source: rows (fact_id, id, j) of objects."""
@@ -132,19 +132,20 @@ def _nested_sql() -> str:
         for name in ("modifiers", "children"):
             m = json_sql.items(f("j", name))
             places(table_of(f"SELECT fact_id, id, path || '.{name}' AS path, unnest({m}) AS x, generate_subscripts({m}, 1) - 1 AS k, '' AS key FROM tree"))
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT DISTINCT fact_id, entry_kind, parent_id, container_id, CAST(container_ordinal AS BIGINT) AS container_ordinal, map_key, entry_id FROM ({' UNION ALL '.join(parts)})"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT DISTINCT {select} FROM ({' UNION ALL '.join(parts)})"
 
 
 def oracle_sql() -> dict[str, str]:
     pairs = "SELECT kind, node AS descendant, depth, unnest(path[:-2]) AS node, generate_subscripts(path[:-2], 1) AS pos FROM done WHERE depth > 0"
     return {
-        "p1_found": _nested_sql(),
-        "p4_found": _CHAINS + """SELECT kind AS tree_kind, node AS node_id, root_id, CAST(depth AS BIGINT) AS depth FROM done
+        "p1_found": _nested_sql("fact_id, entry_kind, parent_id, container_id, CAST(container_ordinal AS BIGINT) AS container_ordinal, map_key, entry_id"),
+        "p1_records": _nested_sql("CASE WHEN entry_kind = 'record' THEN fact_id END AS fact_id, relation, parent_id, entry_id AS record_id, CAST(ordinal AS BIGINT) AS ordinal").replace("SELECT DISTINCT CASE", "SELECT * FROM (SELECT DISTINCT CASE") + ") WHERE fact_id IS NOT NULL",
+        "p4_found": CHAINS + """SELECT kind AS tree_kind, node AS node_id, root_id, CAST(depth AS BIGINT) AS depth FROM done
 WHERE (kind, node) IN (SELECT 'expression', child_id FROM expression_edge UNION SELECT 'class', class_id FROM class_index)""",
-        "p4_paths": _CHAINS + f""", pairs AS ({pairs}), below AS (SELECT kind, node, count(*) AS n FROM pairs GROUP BY ALL)
+        "p4_paths": CHAINS + f""", pairs AS ({pairs}), below AS (SELECT kind, node, count(*) AS n FROM pairs GROUP BY ALL)
 SELECT d.kind AS tree_kind, d.node AS node_id, root_id, CAST(depth AS BIGINT) AS depth, array_to_string(path, ' > ') AS path, coalesce(n, 0) AS descendants
 FROM done d LEFT JOIN below b ON b.kind = d.kind AND b.node = d.node""",
-        "p4_descendants": _CHAINS + f""", pairs AS ({pairs})
+        "p4_descendants": CHAINS + f""", pairs AS ({pairs})
 SELECT kind AS tree_kind, node AS node_id, descendant AS descendant_id, CAST(depth - pos + 1 AS BIGINT) AS distance FROM pairs""",
-        "p4_circles": _CHAINS + "SELECT kind AS tree_kind, node AS node_id FROM done WHERE depth = -1 AND on_circle",
+        "p4_circles": CHAINS + "SELECT kind AS tree_kind, node AS node_id FROM done WHERE depth = -1 AND on_circle",
     }

@@ -161,6 +161,8 @@ judged AS (
 def oracle_sql() -> dict[str, str]:
     from ..operators.analytics import SQL
 
+    found = """, found AS (SELECT rule, fact_id, v AS m FROM n WHERE rule NOT IN ('ALL-DATA0009', 'ALL-REVI0001')
+UNION ALL SELECT 'ALL-DATA0009', fact_id, count(*) FROM field WHERE coalesce(length(trim(description)), 0) = 0 GROUP BY ALL UNION ALL SELECT 'ALL-REVI0001', fact_id, count(*) FROM change WHERE NOT met GROUP BY ALL) """
     prose = {"ALL-WRIT0003": ("writ_sentence_uniformity", "uniformity", 90), "ALL-WRIT0005": ("writ_opener_concentration", "share", 30)}
     written_ = " UNION ALL ".join(f"SELECT '{r}' AS rule, 'document:' || fact_id AS fact_id, {v} AS number, {v} > {most} AS failed FROM ({SQL[q]})" for r, (q, v, most) in prose.items())
     paragraphs = SQL["writ_paragraph_uniformity"].replace("n >= 3", "n >= 4").replace("x >= 10", "x >= 30")
@@ -175,6 +177,9 @@ UNION ALL SELECT 'ALL-COMM0003', 'comments:' || f.repository || ':' || f.path, C
     return {
         "rules_domain_values": domain_,
         "rules_data_values": _PREPARED + "SELECT rule, fact_id, number, category_value, failed, unassessed FROM judged",
+        "rules_data_summaries": _PREPARED + found + """SELECT rule, count(*) AS observation_count, CAST(sum(CAST(unassessed AS INTEGER)) AS BIGINT) AS unassessed_count, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failure_count, CAST(sum(CASE WHEN failed THEN coalesce(m, 0) ELSE 0 END) AS BIGINT) AS finding_count
+FROM judged LEFT JOIN found USING (rule, fact_id) GROUP BY rule""",
+        "rules_data_findings": _PREPARED + found + "SELECT rule, fact_id, CAST(m AS BIGINT) AS findings FROM judged JOIN found USING (rule, fact_id) WHERE failed AND m > 0",
         "rules_data_failures": _PREPARED + f""", listed AS (SELECT * FROM (VALUES {order}) AS t(rule, k))
 SELECT fact_order, rule, j.fact_id FROM judged j JOIN listed USING (rule) JOIN fact f ON f.fact_id = j.fact_id WHERE failed ORDER BY fact_order, k, j.fact_id LIMIT 100""",
     }
