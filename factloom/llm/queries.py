@@ -119,6 +119,9 @@ place AS (SELECT DISTINCT stream_id, unnest(range(token_no, token_no + 40)) AS k
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2 + "SELECT stream_id, count(*) AS shared_tokens FROM place GROUP BY ALL",
+        "p2_spans": _P2 + """, isle AS (SELECT stream_id, k, k - row_number() OVER (PARTITION BY stream_id ORDER BY k) AS g FROM place),
+span AS (SELECT stream_id, min(k) AS first_token, max(k) AS last_token FROM isle GROUP BY stream_id, g), line AS (SELECT stream_id, token_no, min(line) AS line FROM clone_token GROUP BY ALL)
+SELECT s.stream_id, first_token, last_token, a.line AS first_line, b.line AS last_line FROM span s LEFT JOIN line a ON a.stream_id = s.stream_id AND a.token_no = first_token LEFT JOIN line b ON b.stream_id = s.stream_id AND b.token_no = last_token""",
         "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM run JOIN gram USING (g)",
         "p7_clean": _P7 + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM run JOIN gram USING (g))",
         "p9_found": _P9 + "SELECT doc_id FROM share WHERE words > 0 AND 2 * repeated_words >= words",
