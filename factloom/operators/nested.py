@@ -53,7 +53,7 @@ def _is_object(v: str) -> str:
     return f"try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL"
 
 
-def _items(v: str, records: bool) -> str:
+def _items(v: str) -> str:
     """The items of a list, of a list within a JSON text, or of a lone object."""
     array = "try_variant_get({}, '$', 'array<variant>')"
     lone = f"CASE WHEN {_is_object(_text(v))} THEN array({_text(v)}) END"
@@ -65,7 +65,7 @@ def _pairs(v: str) -> str:
     made = []
     for w in (v, _text(v)):
         m = f"try_variant_get({w}, '$', 'map<string,variant>')"
-        made.append(f"transform(map_keys({m}), (key, i) -> named_struct('key', key, 'value', map_values({m})[i]))")
+        made.append(f"map_entries({m})")
         made.append(f"transform(try_variant_get({w}, '$', 'array<variant>'), e -> named_struct('key', try_variant_get(e, '$.key', 'string'), 'value', try_variant_get(e, '$.value', 'variant')))")
     entries = f"filter(coalesce({', '.join(made)}, array()), e -> e.key IS NOT NULL)"
     return f"transform(array(struct({entries} AS all)), h -> transform(array_sort(transform(h.all, (e, i) -> struct(e.key AS key, i AS i))), o -> struct(o.key AS key, h.all[o.i].value AS value)))[0]"
@@ -93,6 +93,8 @@ def _project(v: str, shape: dict, parent: str, path: str, n: int, depth: int) ->
     for name, kind in shape.items():
         at = f"'{name}'" if path == "''" else f"concat({path}, '.{name}')" if not path.startswith("'") else f"{path[:-1]}.{name}'"
         value = _field(v, name)
+        # A field is looked up once and bound; its readings refer to the name.
+        bound = lambda read, f=f"f{n}", value=value: f"flatten(transform(array({value}), {f} -> {read(f)}))"
         if isinstance(kind, dict):
             o = f"o{n}"
             a, b = _project(o, kind, parent, at, n + 1, depth)
@@ -102,41 +104,39 @@ def _project(v: str, shape: dict, parent: str, path: str, n: int, depth: int) ->
             if b:
                 rest.append(f"flatten(transform({held}, h{n} -> transform(array({_object(f'h{n}')}), {o} -> concat({', '.join(b)}))[0]))")
         elif kind is map:
-            rows.append(f"flatten(transform({_pairs(value)}, (e{n}, k{n}) -> {_entry(f'e{n}.value', f'k{n}', f'e{n}.key', parent, at, n)}))")
+            rows.append(f"flatten(transform({bound(_pairs)}, (e{n}, k{n}) -> {_entry(f'e{n}.value', f'k{n}', f'e{n}.key', parent, at, n)}))")
         elif kind is list:
-            rows.append(f"flatten(transform({_items(value, False)}, (x{n}, k{n}) -> {_entry(f'x{n}', f'k{n}', chr(39) * 2, parent, at, n)}))")
+            rows.append(f"flatten(transform({bound(_items)}, (x{n}, k{n}) -> {_entry(f'x{n}', f'k{n}', chr(39) * 2, parent, at, n)}))")
         else:
             below = NODE if kind[0] == "node" else kind[0]
             x, k, r = f"x{n}", f"k{n}", f"r{n}"
             entry = f"concat({parent}, '/', {at}, ':', {k})"
             own = _entry(x, k, "''", parent, at, n)
             if kind[0] == "node" and depth == 0:
-                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> {own}))")
-                rest.append(f"transform({_items(value, True)}, (x{n}, k{n}) -> named_struct('node', {x}, 'id', {entry}, 'path', {at}))")
+                rows.append(f"flatten(transform({bound(_items)}, (x{n}, k{n}) -> {own}))")
+                rest.append(f"transform({bound(_items)}, (x{n}, k{n}) -> named_struct('node', {x}, 'id', {entry}, 'path', {at}))")
                 continue
             a, b = _project(x, below, r, at, n + 1, depth - (kind[0] == "node"))
             # The id is bound once per record, so that deeper levels refer to a name instead of repeating the expression.
             if a:
-                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> concat({own}, transform(array({entry}), {r} -> concat({', '.join(a)}))[0])))")
+                rows.append(f"flatten(transform({bound(_items)}, (x{n}, k{n}) -> concat({own}, transform(array({entry}), {r} -> concat({', '.join(a)}))[0])))")
             else:
-                rows.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> {own}))")
+                rows.append(f"flatten(transform({bound(_items)}, (x{n}, k{n}) -> {own}))")
             if b:
-                rest.append(f"flatten(transform({_items(value, True)}, (x{n}, k{n}) -> transform(array({entry}), {r} -> concat({', '.join(b)}))[0]))")
+                rest.append(f"flatten(transform({bound(_items)}, (x{n}, k{n}) -> transform(array({entry}), {r} -> concat({', '.join(b)}))[0]))")
     return rows, rest
 
 
 def payloads(facts: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """fact_id, family (and more columns) and the payload as an object, where it is readable."""
-    v = "try_parse_json(payload)"
-    v = F.expr(v)
-    out = facts.select("fact_id", "family", *more, v.alias("v")).where("v IS NOT NULL")
-    for _ in range(2):
-        out = out.withColumn("v", F.expr(_object("v")))
-    out = out.withColumn("v", F.expr(f"CASE WHEN {_is_object(_field('v', 'fact'))} THEN {_field('v', 'fact')} WHEN try_variant_get(v, '$.fact', 'string') IS NOT NULL AND {_is_object(_text(_field('v', 'fact')))} THEN {_text(_field('v', 'fact'))} ELSE v END"))
-    return out.where(f"v IS NOT NULL AND {_is_object('v')}")
+    """fact_id, family (and more columns) and the payload as an object; what cannot be read as one has no fields."""
+    fact = _field("c", "fact")
+    unwrapped = f"transform(array({fact}), f -> CASE WHEN {_is_object('f')} THEN f WHEN {_is_object(_text('f'))} THEN {_text('f')} ELSE c END)[0]"
+    # Each step is bound to a name, so that a payload is parsed once however often a step refers to it.
+    v = f"transform(array(try_parse_json(payload)), a -> transform(array({_object('a')}), b -> transform(array({_object('b')}), c -> {unwrapped})[0])[0])[0]"
+    return facts.where("payload IS NOT NULL").select("fact_id", "family", *more, F.expr(v).alias("v"))
 
 
-def entries(facts: DataFrame) -> DataFrame:
+def entries(facts: DataFrame, distinct: bool = True) -> DataFrame:
     """One row per entry of every list and map: fact_id, relation, entry_kind, parent_id, container_id, container_ordinal, map_key, ordinal, entry_id, value (JSON text)."""
     # One delivery of each content is enough; deliveries that differ in encoding only meet in the final distinct.
     read = payloads(facts.dropDuplicates(["fact_id", "family", "payload"]))
@@ -160,4 +160,6 @@ def entries(facts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("value", F.expr("to_json(value)")).distinct()
+    # A caller that drops columns and makes rows distinct itself asks for the rows as they are.
+    out = out.withColumn("value", F.expr("to_json(value)"))
+    return out.distinct() if distinct else out

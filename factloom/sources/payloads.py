@@ -25,7 +25,7 @@ def _typed(v: str, kind, n: int) -> str:
     if isinstance(kind, tuple):
         return f"transform({nested._pairs(v)}, m{n} -> named_struct('key', m{n}.key, 'value', {_typed(f'm{n}.value', kind[1], n + 1)}))"
     if isinstance(kind, list):
-        return f"transform({nested._items(v, True)}, x{n} -> {_typed(f'x{n}', kind[0], n + 1)})"
+        return f"transform({nested._items(v)}, x{n} -> {_typed(f'x{n}', kind[0], n + 1)})"
     fields = ", ".join(f"'{name}', {_typed(nested._field(f'o{n}', name), inner, n + 1)}" for name, inner in kind.items())
     return f"transform(array({nested._object(v)}), o{n} -> named_struct({fields}))[0]"
 
@@ -34,7 +34,7 @@ def facts(raw: DataFrame, family: str) -> DataFrame:
     """One row per fact of a family: identity, repository and the typed fields. Unreadable deliveries are passed over."""
     own = raw.where((F.col("family") == family) & F.col("payload").isNotNull())
     keys = own.select("delivery_id", "fact_id", "repository", "path", "language", "observed_at", "ingested_at")
-    read = nested.payloads(own.select("fact_id", "family", "payload", "delivery_id"), ("delivery_id",))
+    read = nested.payloads(own.select("fact_id", "family", "payload", "delivery_id"), ("delivery_id",)).where(nested._is_object("v"))
     latest = first_per(read.join(keys.drop("fact_id"), "delivery_id"), ["fact_id"], F.col("observed_at").desc_nulls_last(), F.col("ingested_at").desc_nulls_last(), F.col("delivery_id").desc())
     identity = [F.col("delivery_id").alias("fact_order"), "fact_id", "path", F.lit(1).cast("long").alias("start_line"), F.lit(0).cast("long").alias("start_column"), F.lit(1).cast("long").alias("end_line"), F.lit(0).cast("long").alias("end_column"), "language"]
     return latest.select(*identity, "repository", F.expr(_typed("v", FIELDS[family], 0)).alias("p")).select("*", "p.*").drop("p")
