@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 IDENTITY = ["fact_order", "fact_id", "path", "start_line", "start_column", "end_line", "end_column", "language"]
 
 
@@ -65,9 +67,21 @@ def first_per(frame: DataFrame, keys: list[str], *order: Column | str) -> DataFr
     return frame.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+#: Repeated keys are sent to every task only up to this number.
+FEW = 100_000
+
+
 def latest(frame: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """The first row of each key in a stated order, for wide rows few of which are repeated: only repeated keys' rows are shuffled."""
-    again = frame.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    """The first row of each key in a stated order, for wide rows few of which are repeated: only repeated keys' rows are shuffled.
+
+    The repeated keys are counted first (a job over the key column alone): none leave the frame as it is, few are
+    broadcast, many are joined.
+    """
+    again = written(frame.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    n = again.count()
+    if not n:
+        return frame
+    again = F.broadcast(again) if n <= FEW else again
     return frame.join(again, key, "left_anti").unionByName(first_per(frame.join(again, key, "left_semi"), [key], *order).select(*frame.columns))
 
 
