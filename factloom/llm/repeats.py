@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.facts import latest
 from ..session import written
 
 RUN, SHARE = 8, 0.5
@@ -229,24 +230,27 @@ def perplexity(documents: DataFrame) -> DataFrame:
         for ids, held in _held(batches, 500_000):
             three, *_, owner = _grams(held)
             part = (three >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(three), np.int64)
-            docs = np.array(ids, dtype=np.int64)[owner]
+            names = np.array(ids, dtype=np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             for piece in np.split(order, cuts):
                 if len(piece):
-                    yield pd.DataFrame({"shard": [part[piece[0]]], "asked": [three[piece].view(np.int64).tobytes()], "docs": [docs[piece].tobytes()]})
+                    # Each trigram once, its places as small numbers, and the documents as numbers into a list of their ids.
+                    hashes, place = np.unique(three[piece].view(np.int64), return_inverse=True)
+                    some, doc = np.unique(owner[piece], return_inverse=True)
+                    yield pd.DataFrame({"shard": [part[piece[0]]], "asked": [hashes.tobytes()], "places": [place.astype(np.int32).tobytes()], "docs": [doc.astype(np.int32).tobytes()], "ids": [names[some].tobytes()]})
 
-    asked = documents.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(ask, "shard long, asked binary, docs binary")
+    asked = latest(documents.select("doc_id", "text"), "doc_id", "text").mapInPandas(ask, "shard long, asked binary, places binary, docs binary, ids binary")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for hashes, logp, asked_, docs in zip(batch["hashes"], batch["logp"], batch["asked"], batch["docs"]):
+            for hashes, logp, asked_, places, docs, ids in zip(*(batch[c] for c in ("hashes", "logp", "asked", "places", "docs", "ids"))):
                 table, value = np.frombuffer(hashes, np.int64), np.frombuffer(logp, np.float32)
                 found = value[np.searchsorted(table, np.frombuffer(asked_, np.int64))].astype(float)
-                doc, index = np.unique(np.frombuffer(docs, np.int64), return_inverse=True)
-                yield pd.DataFrame({"doc_id": doc, "n": np.bincount(index), "logp": np.bincount(index, found)})
+                index = np.frombuffer(docs, np.int32)
+                yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "n": np.bincount(index), "logp": np.bincount(index, found[np.frombuffer(places, np.int32)])})
 
-    sums = asked.join(arrays, "shard").select("hashes", "logp", "asked", "docs").mapInPandas(answer, "doc_id long, n long, logp double")
+    sums = asked.join(arrays, "shard").select("hashes", "logp", "asked", "places", "docs", "ids").mapInPandas(answer, "doc_id long, n long, logp double")
     return sums.groupBy("doc_id").agg(F.sum("n").alias("words"), F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
 
 
