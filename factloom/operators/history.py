@@ -35,8 +35,9 @@ def cochange(changes: DataFrame, maximum_files: int = 30) -> DataFrame:
     narrow = named.groupBy("repository", "commit").agg(F.count("*").alias("n")).where(F.col("n") <= maximum_files)
     focused = named.join(narrow, ["repository", "commit"]).groupBy("repository", "commit").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("file")).alias("f"))
     alone = focused.select("repository", F.explode("f").alias("file")).groupBy("repository", "file").agg(F.count("*").alias("commits"))
-    pair = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0)).cast("int")), lambda b: F.struct(a.alias("left"), b.alias("right")))))
-    shared = focused.where("n > 1").select("repository", F.explode(pair).alias("p")).groupBy("repository", F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.count("*").alias("shared"))
+    firsts = focused.where("n > 1").select("repository", "n", "f", F.posexplode("f").alias("i", "left"))
+    pairs = firsts.where("i < n - 1").select("repository", "left", F.explode(F.slice("f", F.col("i") + 2, F.col("n").cast("int"))).alias("right"))
+    shared = pairs.groupBy("repository", "left", "right").agg(F.count("*").alias("shared"))
     left = alone.select("repository", F.col("file").alias("left"), F.col("commits").alias("left_commits"))
     right = alone.select("repository", F.col("file").alias("right"), F.col("commits").alias("right_commits"))
     return shared.join(left, ["repository", "left"]).join(right, ["repository", "right"])
