@@ -333,7 +333,7 @@ class _Reader(ast.NodeVisitor):
     def call(self, node: ast.Call, discarded: bool) -> None:
         functions = [o for o in self.owner if isinstance(o, (ast.FunctionDef, ast.AsyncFunctionDef))]
         first = node.args[0] if node.args else None
-        self.add("call", callee=dotted(node.func), keywords=[k.arg for k in node.keywords if k.arg], arguments=len(node.args), first=ast.unparse(first)[:200] if first is not None else None, first_is_literal=isinstance(first, (ast.Constant, ast.Dict, ast.List)), discarded=discarded, in_loop=self.loops > 0, in_function=functions[-1].name if functions else None, in_async=bool(functions) and isinstance(functions[-1], ast.AsyncFunctionDef), line=node.lineno, column=node.col_offset)
+        self.add("call", callee=dotted(node.func), keywords=[k.arg for k in node.keywords if k.arg], arguments=len(node.args), first=ast.unparse(first) if first is not None else None, first_is_literal=isinstance(first, (ast.Constant, ast.Dict, ast.List)), discarded=discarded, in_loop=self.loops > 0, in_function=functions[-1].name if functions else None, in_async=bool(functions) and isinstance(functions[-1], ast.AsyncFunctionDef), line=node.lineno, column=node.col_offset)
 
     def _comprehension(self, node) -> None:
         self.add("comprehension", kind=type(node).__name__.lower(), loops=len(node.generators), line=node.lineno)
@@ -354,7 +354,7 @@ class _Reader(ast.NodeVisitor):
         for t in targets:
             for n in ast.walk(t):
                 if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
-                    self.add("binding", name=n.id, value_kind=type(value).__name__.lower() if value is not None else None, value_text=ast.unparse(value)[:200] if value is not None else None, line=node.lineno, in_loop_header=False, is_constant=not self.owner and n.id.isupper())
+                    self.add("binding", name=n.id, value_kind=type(value).__name__.lower() if value is not None else None, value_text=ast.unparse(value) if value is not None else None, line=node.lineno, in_loop_header=False, is_constant=not self.owner and n.id.isupper())
         if isinstance(value, ast.Constant) and isinstance(value.value, str):
             self.literal(value, "assigned")
         if isinstance(node, ast.AnnAssign):
@@ -368,7 +368,7 @@ class _Reader(ast.NodeVisitor):
         fragments = 1
         if "\n" in segment and not segment.lstrip("rbfuRBFU").startswith(('"""', "'''")):
             fragments = segment.count("\n") + 1
-        self.add("literal", text=node.value[:2000], role=role, fragments=fragments, line=node.lineno)
+        self.add("literal", text=node.value, role=role, fragments=fragments, line=node.lineno)
 
     def visit_If(self, node: ast.If) -> None:
         arms, subjects, literals, at = 0, set(), [], node

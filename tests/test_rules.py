@@ -149,3 +149,22 @@ def test_shared_scans_give_the_same_results(spark, tables):
         for name, keys in (("summaries", ["rule", "observation_count", "unassessed_count", "failure_count", "finding_count"]), ("failures", ["rule", "fact_id", "integer_value", "boolean_value", "finding_count", "path"]), ("findings", ["rule", "fact_id", "finding_order", "message", "start_line", "measurement_values"])):
             a, b = (sorted(map(str, getattr(r, name).select(*keys).collect())) for r in (one, two))
             assert a == b, name
+
+
+def test_long_texts_are_judged_whole(spark):
+    long, other = "word " * 600, "x" * 300
+    sources = {
+        "a.py": f"def f(n, x, api_key=None):\n    s = '{long}a'\n    token = g('{other}', random.random())\n    password = '{other} your password'\n    secret = '{other}'\n",
+        "b.py": f"s = '{long}b'\nt = '{long}same'\nu = from_numpy(g('{other}').get())\n", "c.py": f"s = '{long}c'\nt = '{long}same'\n", "d.py": f"t = '{long}same'\n",
+        "e.py": "".join(f"cast('{other}{k % 4}', x)\n" for k in range(6)), "f.py": f"cast('{other}', x)\n" * 3,
+    }
+    found = python_source.tables(spark.createDataFrame([(k, p, t, None) for k, (p, t) in enumerate(sources.items())], "file_id long, path string, text string, ingested_at timestamp"))
+
+    def value(id):
+        return {r.path: r.integer_value for r in engine.evaluate(engine.CATALOG[id], found).values.collect() if r.integer_value}
+
+    assert value("ALL-DUPL0002") == {"b.py": 1, "c.py": 1, "d.py": 1}
+    assert value("PY-TYPE0005") == {"f.py": 3}
+    assert value("ALL-SECU0003") == {"a.py": 1}
+    assert value("ALL-SECU0004") == {"a.py": 1}
+    assert value("PY-PERF0001") == {"b.py": 1}
