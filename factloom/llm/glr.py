@@ -1,9 +1,10 @@
 """Table-driven generalised LR recogniser over bundled grammars.
 
 A grammar text becomes SLR(1) tables once, on the driver; conflicts are kept, and the recogniser follows every
-alternative at once. Its state is a set of hash-consed stacks, so equal stacks reached by different readings of the
-same tokens are one stack. Because a state is a small number, the move a whole line makes from a state is remembered:
-source lines repeat in shape far more often than in text, and a remembered line costs one dictionary lookup.
+alternative at once. Its state is a graph of stacks: readings whose stacks have the same top at the same place share one
+node with an edge to every node that lies below it, so all readings stay and their number does not matter. Nodes are
+hash-consed, so equal graphs are one state. Because a state is a small number, the move a whole line makes from a state is
+remembered: source lines repeat in shape far more often than in text, and a remembered line costs one dictionary lookup.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from collections import defaultdict
 
 _G = re.compile(r"#[^\n]*|'([^'\n]+)'|([A-Za-z_]\w*)|([:|;()?*+])|\s+")
 _MEMO = 150_000
-#: Readings of one place that are followed at once. A statement of dozens of signs that may open a bracket or compare has more;
-#: those with the fewest open brackets are then kept, which reads such signs as comparisons.
-READINGS = 512
 
 
 def read_grammar(text: str) -> list[tuple[str, tuple[str, ...]]]:
@@ -177,7 +175,7 @@ class Recogniser:
         self.reset()
 
     def reset(self) -> None:
-        self.top, self.below, self.deep, self.nodes = [0], [-1], [0], {(0, -1): 0}
+        self.top, self.below, self.nodes = [0], [frozenset()], {(0, frozenset()): 0}
         self.sets, self.ids = [frozenset({0})], {frozenset({0}): 0}
         self.moves: dict[tuple, int] = {}
         self.single: dict[tuple, int] = {}
@@ -185,52 +183,86 @@ class Recogniser:
     def full(self) -> bool:
         return len(self.moves) + len(self.nodes) + len(self.single) > _MEMO
 
+    def node(self, top: int, below: frozenset[int]) -> int:
+        made = self.nodes.get((top, below))
+        if made is None:
+            self.nodes[top, below] = made = len(self.top)
+            self.top.append(top)
+            self.below.append(below)
+        return made
+
+    def shifts(self, state: int, terminal: str) -> list[tuple[int, int]]:
+        """(target, node below it) of every shift of the terminal, after all reductions it allows.
+
+        Nodes made by reductions have negative numbers while they may still get edges. A new edge of such a node repeats
+        only the reductions that begin with it, unless an edge between two such nodes could hide others.
+        """
+        actions, gotos, top, below = self.actions, self.gotos, self.top, self.below
+        tops: list[int] = []
+        edges: list[set[int]] = []
+        made: dict[int, int] = {}
+        inner = False
+        found: dict[tuple[int, int], None] = {}
+        todo: list[tuple[int, int | None]] = [(node, None) for node in self.sets[state]]
+        while todo:
+            node, edge = todo.pop()
+            act = actions[top[node] if node >= 0 else tops[~node]].get(terminal)
+            if act is None:
+                continue
+            target, reductions = act
+            if target >= 0:
+                found[target, node] = None
+            for count, head in reductions:
+                if count == 0:
+                    bases = (node,)
+                else:
+                    bases = (edge,) if edge is not None else tuple(below[node] if node >= 0 else edges[~node])
+                    for _ in range(count - 1):
+                        if len(bases) == 1:
+                            bases = tuple(below[bases[0]] if bases[0] >= 0 else edges[~bases[0]])
+                        else:
+                            bases = tuple({b for base in bases for b in (below[base] if base >= 0 else edges[~base])})
+                for base in bases:
+                    to = gotos[top[base] if base >= 0 else tops[~base]].get(head)
+                    if to is None:
+                        continue
+                    inner |= base < 0
+                    known = made.get(to)
+                    if known is None:
+                        made[to] = known = ~len(tops)
+                        tops.append(to)
+                        edges.append({base})
+                        todo.append((known, None))
+                    elif base not in edges[~known]:
+                        edges[~known].add(base)
+                        if inner:
+                            todo += [(n, None) for n in (*self.sets[state], *made.values())]
+                        else:
+                            todo.append((known, base))
+        settled: dict[int, int] = {}
+
+        def settle(node: int) -> int:
+            if node >= 0:
+                return node
+            if node not in settled:
+                settled[node] = self.node(tops[~node], frozenset(map(settle, edges[~node])))
+            return settled[node]
+
+        return [(target, settle(node)) for target, node in found]
+
     def token(self, state: int, terminals: tuple[str, ...]) -> int:
         """The state after one token, or -1."""
         key = (state, terminals)
         if (known := self.single.get(key)) is not None:
             return known
-        top, below, deep, nodes, actions, gotos = self.top, self.below, self.deep, self.nodes, self.actions, self.gotos
-        shifted: set[int] = set()
+        shifted: dict[int, set[int]] = {}
         for terminal in terminals:
-            todo = list(self.sets[state])
-            seen = set(todo)
-            while todo:
-                stack = todo.pop()
-                act = actions[top[stack]].get(terminal)
-                if act is None:
-                    continue
-                target, reductions = act
-                if target >= 0:
-                    node = nodes.get((target, stack))
-                    if node is None:
-                        nodes[target, stack] = node = len(top)
-                        top.append(target)
-                        below.append(stack)
-                        deep.append(deep[stack] + 1)
-                    shifted.add(node)
-                for count, head in reductions:
-                    base = stack
-                    for _ in range(count):
-                        base = below[base]
-                    target = gotos[top[base]].get(head)
-                    if target is None:
-                        continue
-                    node = nodes.get((target, base))
-                    if node is None:
-                        nodes[target, base] = node = len(top)
-                        top.append(target)
-                        below.append(base)
-                        deep.append(deep[base] + 1)
-                    if node not in seen:
-                        seen.add(node)
-                        todo.append(node)
+            for target, node in self.shifts(state, terminal):
+                shifted.setdefault(target, set()).add(node)
         if not shifted:
             after = -1
         else:
-            if len(shifted) > READINGS:
-                shifted = set(sorted(shifted, key=lambda node: (deep[node], node))[:READINGS])
-            frozen = frozenset(shifted)
+            frozen = frozenset(self.node(target, frozenset(under)) for target, under in shifted.items())
             after = self.ids.get(frozen, -1)
             if after < 0:
                 self.ids[frozen] = after = len(self.sets)

@@ -74,6 +74,14 @@ def test_many_readings_stay_quick(parsers, language, text):
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("depth", [9, 12, 40])
+def test_deep_template_arguments_parse(parsers, depth):
+    kind = "A<" * depth + "int" + ">" * depth
+    text = f"using X = {kind};\n{kind} b;\n{kind} f({kind} a) {{ {kind} c; g<{kind}>(a); }}"
+    assert parsers["cpp"].error_line(text) == 0
+    assert parsers["cpp"].error_line(text.replace("> b", ">> b")) == 2
+
+
 def test_memory_is_bounded(parsers, monkeypatch):
     from factloom.llm import glr
 
