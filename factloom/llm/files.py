@@ -106,20 +106,21 @@ def with_history(found: DataFrame, files: DataFrame, history: DataFrame) -> Data
     return facts.join(found, "file_id").join(lines, ["repository", "path"], "left").select("file_id", "repository", "path", "category", "rule", "byte_count", "line_count")
 
 
-_SPAN = "origin string, ref_id long, start_line long, bytes long, hash binary, text string"
+#: place: the number of the piece within its file or comment group.
+_SPAN = "origin string, ref_id long, start_line long, place long, bytes long, hash binary, text string"
 
 
 def _spans(found, seen: set) -> pd.DataFrame:
     rows = []
-    for where, ref, line, size, text in found:
+    for where, ref, line, place, size, text in found:
         digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         first = digest not in seen
         if first:
             if len(seen) > 500_000:
                 seen.clear()
             seen.add(digest)
-        rows.append((where, ref, line, size, digest, text.encode("utf-8", "replace").decode() if first else None))
-    return pd.DataFrame(rows, columns=["origin", "ref_id", "start_line", "bytes", "hash", "text"])
+        rows.append((where, ref, line, place, size, digest, text.encode("utf-8", "replace").decode() if first else None))
+    return pd.DataFrame(rows, columns=["origin", "ref_id", "start_line", "place", "bytes", "hash", "text"])
 
 
 def file_spans(files: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def file_spans(files: DataFrame) -> DataFrame:
                 text = normalised(text)
                 scanned = list(lexer(language).scan(text))
                 if not first_error(language, text, table, scanned):
-                    found += [("source_file", file, line, size, piece) for line, _, piece, size in pieces.pieces_of(text, language, scanned) if prose.maybe(piece)]
+                    found += [("source_file", file, line, place, size, piece) for place, (line, _, piece, size) in enumerate(pieces.pieces_of(text, language, scanned)) if prose.maybe(piece)]
             yield _spans(found, seen)
 
     return files.select("file_id", "path", "text").mapInPandas(extract, _SPAN)
@@ -154,9 +155,9 @@ def group_spans(groups: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for group, body, expression, line in zip(batch["group_id"], batch["body"], batch["expression"], batch["start_line"]):
-                for piece in ([normalised(body)] if body is not None else []) + ([pieces.literal(expression)] if expression is not None else []):
+                for place, piece in ([(0, normalised(body))] if body is not None else []) + ([(1, pieces.literal(expression))] if expression is not None else []):
                     if prose.maybe(piece):
-                        found.append(("comment_group", group, None if pd.isna(line) else int(line), len(piece.encode("utf-8", "replace")), piece))
+                        found.append(("comment_group", group, None if pd.isna(line) else int(line), place, len(piece.encode("utf-8", "replace")), piece))
             spans = _spans(found, seen)
             yield spans.astype({"start_line": "Int64"})
 
@@ -164,7 +165,7 @@ def group_spans(groups: DataFrame) -> DataFrame:
 
 
 def prose_spans(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """origin, ref_id, start_line, nl_lang, bytes of every prose piece.
+    """origin, ref_id, start_line, nl_lang, bytes of every prose piece, one row for each; repeated input rows count once.
 
     The spans are written once. Each distinct hash is then classified once, and its label joined back on the hash; only
     distinct texts and 16-byte hashes are shuffled. A hash that holds very many spans is one row on the label side, so
@@ -179,7 +180,7 @@ def prose_spans(files: DataFrame, groups: DataFrame) -> DataFrame:
             yield batch.loc[batch["nl_lang"].notna(), ["hash", "nl_lang"]]
 
     labels = distinct.mapInPandas(classify, "hash binary, nl_lang string")
-    return spans.drop("text").join(labels, "hash").select("origin", "ref_id", "start_line", "nl_lang", "bytes").distinct()
+    return spans.drop("text").join(labels, "hash").select("origin", "ref_id", "start_line", "nl_lang", "bytes", "place", "hash").distinct().drop("place", "hash")
 
 
 def language_shares(spans: DataFrame, files: DataFrame) -> DataFrame:

@@ -63,3 +63,11 @@ def test_operator(spark):
     shares = {r.nl_lang: r.share for r in files.language_shares(found, source).where("file_id = 1").collect()}
     assert set(shares) == {b for _, b in WANT} and 0 < sum(shares.values()) < 1
     assert files.prose_spans(source.limit(0), groups.limit(0)).count() == 0
+
+
+def test_equal_pieces_of_one_line_all_count(spark):
+    one, two = '"The loader is not ready yet."', '"The reader is not ready yet."'
+    source = spark.createDataFrame([(1, "a.js", f"x = [{one}, {two}, {one}];")] * 2, "file_id long, path string, text string")
+    groups = spark.createDataFrame([], "group_id long, body string, expression string, start_line long")
+    got = files.language_shares(files.prose_spans(source, groups), source).collect()
+    assert [(r.nl_lang, r.pieces, r.prose_bytes) for r in got] == [("en", 3, 3 * len(one))]
