@@ -73,15 +73,18 @@ class Upstream:
         n = len(words) - SHINGLE + 1
         if n < 1:
             return np.empty(0, np.uint64)
-        ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        ids, other = np.empty(len(words), np.int64), {}
+        for k, w in enumerate(words):
+            i = self.vocabulary.get(w)
+            ids[k] = other.setdefault(w, -1 - len(other)) if i is None else i
         value, known = np.zeros(n, np.uint64), np.ones(n, bool)
         for j in range(SHINGLE):
             part = ids[j : j + n]
             known &= part >= 0
             value = (value ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-        # A shingle with a word no library uses equals none of theirs; it only counts towards the size.
-        value[~known] = np.arange(n, dtype=np.uint64)[~known] | np.uint64(1 << 63)
+        # A shingle with a word no library uses (numbered within its text) equals none of theirs; it only counts towards the size, once.
+        value[~known] |= np.uint64(1 << 63)
         value[known] &= np.uint64((1 << 63) - 1)
         return np.unique(value)
 

@@ -57,6 +57,19 @@ def test_similarity_is_jaccard_on_five_words():
     assert origin.Upstream([]).best(LIB) == 0.0
 
 
+def test_repeated_unknown_shingles_count_once():
+    rows = " ".join(f"w{k}" for k in range(100))
+    index = origin.Upstream([rows])
+    changed = rows + " new0 new1 new2 new3 new4" * 40
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    a, b = shingles(rows), shingles(changed)
+    assert abs(index.best(changed) - len(a & b) / len(a | b)) < 1e-9 and index.best(changed) > 0.8
+
+
 def test_operator(spark):
     source = spark.createDataFrame([(1, "r", "lib/a.py", LIB, None), (1, "r", "lib/a.py", LIB, None), (2, "r", "src/b.py", BODY, 3), (3, "r", "c.py", None, 1), (4, "r", None, "", None), (5, "r", "static/a.min.js", PACKED, None)], "file_id long, repository string, path string, text string, byte_count long").withColumn("category", F.lit("clash")).withColumn("rule", F.lit("clash"))
     upstream = spark.createDataFrame([(LIB, "x"), (None, "y")], "text string, category string")
