@@ -133,19 +133,19 @@ def category(path: str | None, text: str | None, upstream: Upstream, line_count:
     lex = lexer(language)
     scanned = list(lex.scan(text))
     at, code = 0, []
-    head, foot, lines = [], [], 0
+    head, foot, lines, begun = [], [], 0, False
     for kind, start, end in scanned:
         gap = text[at:start]
         code.append(gap)
         lines += gap.count("\n")
         if gap.strip():
-            foot = []
+            foot, begun = [], True
         if kind in "LB":
-            if lines < HEAD_LINES:
+            if lines < HEAD_LINES or not begun:
                 head.append(text[start:end])
             foot.append(text[start:end])
         else:
-            foot = []
+            foot, begun = [], True
         lines += text.count("\n", start, end)
         at = end
     code.append(text[at:])

@@ -85,3 +85,11 @@ def test_bound(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "a.py", LIB)], "file_id long, path string, text string")
     with pytest.raises(ValueError):
         files.unwritten_files(frame, frame)
+
+
+@pytest.mark.parametrize("path,mark", [("a/b.py", "#"), ("a/b.cpp", "//")])
+def test_notice_after_a_long_licence(path, mark):
+    licence = "".join(f"{mark} Licence line {k}.\n" for k in range(40))
+    notice, code = f"{mark} Code generated by a tool.\n", "x = 1\n" if mark == "#" else "int x = 1;\n"
+    assert origin.category(path, licence + notice + code * 3, UP) == ("generated", "notice")
+    assert origin.category(path, licence + code + notice + code, UP) is None
