@@ -8,9 +8,7 @@ Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-import ast
 import hashlib
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,22 +28,11 @@ def language_of_path(path: str | None) -> str | None:
 
 
 def first_error(language: str, text: str, table: dict, scanned=None) -> int:
-    """Line of the first error of a text the grammar rejects, or 0. A rejected Python text must also fail CPython's own parser."""
+    """Line of the first error of a text the grammar of its language rejects, or 0."""
     parser = _PARSERS.get(language)
     if parser is None:
         parser = _PARSERS[language] = Parser(language, table[language])
-    line = parser.error_line(text, scanned)
-    if line and language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return 0
-        except (SyntaxError, ValueError):
-            return line
-        except (RecursionError, MemoryError):
-            return line
-    return line
+    return parser.error_line(text, scanned)
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Grammars: whole texts that are valid and texts damaged in ways that occur."""
 
 import ast
+from pathlib import Path
 
 import pytest
 from conftest import DATA, needs_data
@@ -34,6 +35,22 @@ DAMAGED = {
     "cpp": ["int main( { }", "int x = ;", "class A { int x }", "class A { int x; }", "void f() { g(a]; }", "void f() { x = = y; }", "import os\nfrom .a import b\n", "fn main() -> u64 { 1 }", "void f() { if (a { b(); } }", "<!doctype html>", "int f() { return 1;", "const char* s = \"x 3;\n", "int x � y;", "<<<<<<< left\nint a;\n=======\nint b;\n>>>>>>> right\n"],
 }
 
+#: Texts for which CPython's parser, the test's oracle, decides.
+PYTHON_EITHER = [
+    'f"{a["b"]}"', 'f"{x!r:>{w}}"', 'f"{x"', 'f"{}"', 'f"{a b}"', 'f"{x!z}"', 'f"}"', 'f"{{}}"', 'f"{x:{y:{z}}}"', 'f"{lambda x: 1}"', 'f"{(lambda x: 1)}"', "f'''{\nx\n}'''", 'f"{x=}"', 'f"{x = !r}"', 'f"{a != b}"', 'f"{a == b}"',
+    'f"{*a, b}"', 'f"{yield x}"', 'f"\\{x}"', 'rf"\\{x}"', 'f"{x:%H:%M}"', 'f"{x for x in y}"', 'f"{f"{f"{1}"}"}"', 'f"a" f"{"', 'f"{a[:1]}"', 'f"{ {1:2}[1] }"', 'b"a" "b"', 'b"\xe9"', '"\\x1"', '"\\\\x1"', '"\\u12"', 'x = "', "x = 'a\nb",
+    "0xfe-1", "1if x else y", "1.real", "1..real", "x = 1 \\\n", "x = 1 \\", "1 = x", "f() = 1", "def f(a=1, b): pass", "f(**a, *b)", "if a:\n\tif b:\n        x\n", "if 1:\n        a\n\tb\n", "try: pass\nexcept A, e: pass", "x = [a for a in b if c := d]",
+    "with a as f(): pass", "del f()", "(*a)", "(*a,)", "x := 1", "a + not b", "print x", "f(x for x in y, 1)", "f(x for x in y,)", "class A(x for x in y): pass", "for f() in x: pass", "a, b: int", "(a): int = 1", "lambda a=1, b: 0", "def f(*): pass",
+    "def f(*, **k): pass", "def f(a, /, b, /): pass", "def f(**k, a): pass", "async def f(): await await x", 'match x:\n  case {**r, "a": 1}: pass', "match x:\n  case A(a=1, b): pass", 'match (x):\n  case -1+2j | "a" "b": pass', '"""a\0"""', 'f"{x,}"', "f'{x\n}'", 'f"{#}"',
+]
+SCRIPT_VALID = {
+    "javascript": ["if (x) /re/.test(y);", "while (i--) /a/.exec(b);", "x = a\n  / b / c;", "x = `${`${`${a}`}`}`", "x = `${ {a:{b:{c:1}}} }`", "x = (a) / b / c", "a++ / 2 / b", "function f() { return /x/g }", "switch(a){case /x/.test(b): c()}", "if (a) { b }\n/re/.exec(c)", "x = {a:1} / 2 / 3", 'x = `a${b + "}"}c`', "x = /[`]/", "x = `${/}/.test(a)}`", "x = 0xfe-1", "x = 1..toString()", "a = b /* c */ / d / e", "x = `${a, b}`"],
+    "typescript": ["let y = x! / 2 / z", "let x = `${a as string}`"],
+    "cpp": ["template<class... T> auto f(T... t) { return (g(t), ...); }", "template<class T> concept C = requires(T t) { { t.g() } -> D<int>; typename T::x; requires E<T>; t + 1; { t } noexcept; };"],
+    "rust": ["fn f() { let x = 0x1e-5; let y = 1.max(2); let z = 1e-5; let r = 1..2; }"],
+}
+SCRIPT_DAMAGED = {"javascript": ["x = `${a b}`", "x = `${}`", "x = `${a", "x = `a", 'x = "', 'x = "\\x1"', "x = 1.toFixed()", "x = `${`${a b}`}`", "x = \x03"], "rust": ['fn f() { let x = "; }'], "cpp": ["char c = ';"]}
+
 
 @pytest.fixture(scope="module")
 def parsers():
@@ -59,6 +76,26 @@ def test_python_samples_agree_with_cpython():
             ast.parse(text)
 
 
+@pytest.mark.parametrize("text", PYTHON_EITHER)
+def test_the_grammar_alone_decides_as_cpython_does(parsers, text):
+    try:
+        ast.parse(text)
+        valid = True
+    except (SyntaxError, ValueError):
+        valid = False
+    assert (parsers["python"].error_line(text) == 0) == valid
+
+
+def test_standard_library_parses(parsers):
+    for path in sorted(Path(ast.__file__).parent.glob("*.py"))[:60]:
+        assert parsers["python"].error_line(normalised(path.read_text("utf-8"))) == 0, path
+
+
+def test_patterns_templates_and_folds(parsers):
+    assert not [t for k, texts in SCRIPT_VALID.items() for t in texts if parsers[k].error_line(t)]
+    assert not [t for k, texts in SCRIPT_DAMAGED.items() for t in texts if not parsers[k].error_line(t)]
+
+
 def test_every_truncation_of_braces(parsers):
     text = "void f(int a) { if (a > 1) { g(\"x\"); } }"
     for k in range(1, len(text)):
