@@ -18,8 +18,8 @@ NOTICES = [
     "généré automatiquement", "fichier généré", "generado automáticamente", "generado por", "archivo generado", "producido automáticamente",
     "создан автоматически", "сгенерирован", "автоматически сгенерирован", "自動生成", "自动生成", "自動的に生成",
 ]
-#: Words one of which must stand beside the phrases that are also used in plain remarks.
-WEAK = {"generated from", "auto generated", "generado por", "file generated by"}
+#: Phrases that are a notice wherever they stand; the others must be said of the file itself, or stand beside a warning.
+STRONG = {"@generated", "code generated by"}
 BACKING = re.compile(r"do not (?:edit|modify)|don't edit|overwritten|will be lost|nicht (?:von hand )?(?:bearbeiten|ändern)|ne pas modifier|no (?:editar|modificar)|не редактировать|編集しないで|请勿", re.I)
 #: Directories of outside code and of generated code, suffixes of generated and packed files.
 VENDOR_DIRS = {"vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "node_modules", "bower_components", "site-packages"}
@@ -27,9 +27,13 @@ GENERATED_DIRS = {"gen", "generated", "stubs", "proto", "autogen", "__generated_
 GENERATED_NAME = re.compile(r"(?:_pb2|_pb2_grpc|_pb|\.pb|_gen|\.gen|\.g|\.generated|_generated|-generated|\.designer)\.\w+$", re.I)
 _PACKED_NAME = re.compile(r"(?:[.-]min|[.-]bundle|\.chunk|\.packed)\.\w+$", re.I)
 _LOCK_NAME = re.compile(r"(?:^|/)(?:[\w.-]*[.-]lock(?:\.\w+)?|package-lock\.json|pnpm-lock\.ya?ml|go\.sum|npm-shrinkwrap\.json)$", re.I)
+#: Code that belongs to a file's header: imports, attributes and the binding of a logger.
+_PREAMBLE = re.compile(r"(?:\s*(?:(?:const|let|var|static) )?_?log(?:ger)?\s*=[^\n]*|\s*(?:import|from|use|pub use|using|package|extern crate|mod|export \* from)\b[^;{(\n]*(?:[{(][^})]*[})][^;\n]*)?(?:;|(?=\n|\Z))|\s*[;]|\s*#!?\[[^\]]*\])*\s*")
 _WORD = re.compile(r"(?<!\w)[A-Za-z_]\w*")
 _TOKEN = re.compile(r"\w+")
-HEAD_LINES, SHINGLE, SIMILAR = 15, 5, 0.8
+SHINGLE, SIMILAR = 5, 0.8
+#: A literal is large from this many values or characters on.
+LARGE_VALUES, LARGE_CHARACTERS = 50, 400
 
 
 @cache
@@ -43,9 +47,23 @@ def _automaton():
     return a
 
 
+#: What may stand on a line before a phrase that is said of the file itself.
+_SUBJECT = re.compile(
+    r"\W*(?:(?:warning|attention|achtung|note|notice|important|hinweis|внимание)\W+)?(?:(?:this|the|diese[rs]?|dies|ce|este|esta|этот)\W+)?"
+    r"(?:(?:source |header |python )?(?:file|code|module|script|header|datei|quelltext|fichier|archivo|código|файл|код)\W+)?(?:(?:is|was|has been|wurde|ist|est|a été|es|fue|был|была)\W+)?"
+)
+
+
 def has_notice(comment: str) -> bool:
     low = comment.lower()
-    return any(phrase not in WEAK or BACKING.search(low) for _, phrase in _automaton().iter(low))
+    for end, phrase in _automaton().iter(low):
+        start = end + 1 - len(phrase)
+        if phrase in STRONG or BACKING.search(low):
+            return True
+        line = low[low.rfind("\n", 0, start) + 1 : start]
+        if _SUBJECT.fullmatch(line) or phrase[0] > "\u3000" and len(line.strip(" \t#/*")) <= 12:
+            return True
+    return False
 
 
 class Upstream:
@@ -118,7 +136,7 @@ def _is_data(code: str, skeleton) -> bool:
     return bool(m) and bool(m["b"] or "0" in m["a"] or '"' in m["a"])
 
 
-def category(path: str | None, text: str | None, upstream: Upstream, line_count: int | None = None) -> tuple[str, str] | None:
+def category(path: str | None, text: str | None, upstream: Upstream) -> tuple[str, str] | None:
     """(category, rule) of a file nobody wrote by hand, or None. Order: vendored, minified, data, generated."""
     if text is None:
         return None
@@ -133,20 +151,19 @@ def category(path: str | None, text: str | None, upstream: Upstream, line_count:
     lex = lexer(language)
     scanned = list(lex.scan(text))
     at, code = 0, []
-    head, foot, lines, begun = [], [], 0, False
+    head, foot, before, begun = [], [], "", False
     for kind, start, end in scanned:
         gap = text[at:start]
         code.append(gap)
-        lines += gap.count("\n")
-        if gap.strip():
-            foot, begun = [], True
+        before += "" if begun else gap
+        if gap.strip() or kind not in "LB":
+            foot = []
         if kind in "LB":
-            if lines < HEAD_LINES or not begun:
+            # The header lasts until the first code other than imports.
+            begun = begun or not _PREAMBLE.fullmatch(before)
+            if not begun:
                 head.append(text[start:end])
             foot.append(text[start:end])
-        else:
-            foot, begun = [], True
-        lines += text.count("\n", start, end)
         at = end
     code.append(text[at:])
     if code[-1].strip():
@@ -154,12 +171,15 @@ def category(path: str | None, text: str | None, upstream: Upstream, line_count:
     code = " ".join(code)
     rows = [len(x) for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//", "/*", "*", "#"))]
     if _is_data(code, lambda: lex.skeleton(text, scanned)):
-        if len(text) >= 400:
+        if len(text) >= LARGE_CHARACTERS or code.count(",") >= LARGE_VALUES:
             return "data", "one literal"
-    elif rows and sum(rows) >= 300:
+    elif rows:
         mean = sum(x * x for x in rows) / sum(rows)
         blanks = sum(map(code.count, (" ", "\t", "\n"))) / max(1, len(code))
-        if mean >= (200 if _PACKED_NAME.search(path) else 300) and blanks < 0.12 and language in ("javascript", "typescript"):
+        # A packed file's suffix counts unless the text is set out in lines; without it the text must be packed.
+        if _PACKED_NAME.search(path) and (len(rows) <= 3 or mean >= 80):
+            return "minified", "suffix"
+        if sum(rows) >= 300 and mean >= 300 and blanks < 0.12 and language != "python":
             return "minified", "long dense lines"
     if _LOCK_NAME.search(path):
         return "generated", "lock file"

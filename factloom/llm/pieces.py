@@ -62,9 +62,18 @@ def comment(source: str) -> str:
 def pieces_of(text: str, language: str, scanned=None):
     """(first line, kind, text, bytes) of each piece; kind is 'string' or 'comment'.
 
-    A run of lines that hold only line comments is one piece; a comment after code stands alone.
+    A run of lines that hold only line comments is one piece; a comment after code stands alone. bytes are those of the
+    piece as it stands in the text, in UTF-8.
     """
     scanned = list(lexer(language).scan(text)) if scanned is None else scanned
+    plain = text.isascii()
+
+    def size(start: int, end: int) -> int:
+        return end - start if plain else len(text[start:end].encode("utf-8", "replace"))
+
+    def joined() -> tuple[int, str, str, int]:
+        return run[0][0], "comment", "\n".join(comment(text[s:e]) for _, s, e in run), size(run[0][1], run[-1][2])
+
     line, at = 1, 0
     run: list[tuple[int, int, int]] = []
     for kind, start, end in scanned:
@@ -80,24 +89,20 @@ def pieces_of(text: str, language: str, scanned=None):
                     run.append((line, start, end))
                     continue
                 if run:
-                    yield _joined(text, run)
+                    yield joined()
                 run = [(line, start, end)]
                 continue
             if run:
-                yield _joined(text, run)
+                yield joined()
                 run = []
-            yield line, "comment", comment(text[start:end]), end - start
+            yield line, "comment", comment(text[start:end]), size(start, end)
             continue
         if run:
-            yield _joined(text, run)
+            yield joined()
             run = []
         if kind in "B!":
-            yield line, "comment", comment(text[start:end]), end - start
+            yield line, "comment", comment(text[start:end]), size(start, end)
         else:
-            yield line, "string", literal(text[start:end]), end - start
+            yield line, "string", literal(text[start:end]), size(start, end)
     if run:
-        yield _joined(text, run)
-
-
-def _joined(text: str, run: list[tuple[int, int, int]]) -> tuple[int, str, str, int]:
-    return run[0][0], "comment", "\n".join(comment(text[s:e]) for _, s, e in run), run[-1][2] - run[0][1]
+        yield joined()

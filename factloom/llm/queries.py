@@ -20,12 +20,12 @@ def p2_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return files.prose_spans(table(spark, d, "source_file"), table(spark, d, "comment_group")).select("origin", "ref_id", "start_line", "nl_lang").distinct()
+    return files.prose_spans(table(spark, d, "source_file"), table(spark, d, "comment_group"), table(spark, d, "documents")).select("origin", "ref_id", "start_line", "nl_lang").distinct()
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "source_file")
-    return files.language_shares(files.prose_spans(source, table(spark, d, "comment_group")), source)
+    return files.language_shares(files.prose_spans(source, table(spark, d, "comment_group"), table(spark, d, "documents")), source)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

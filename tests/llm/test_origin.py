@@ -93,3 +93,30 @@ def test_notice_after_a_long_licence(path, mark):
     notice, code = f"{mark} Code generated by a tool.\n", "x = 1\n" if mark == "#" else "int x = 1;\n"
     assert origin.category(path, licence + notice + code * 3, UP) == ("generated", "notice")
     assert origin.category(path, licence + code + notice + code, UP) is None
+
+
+@pytest.mark.parametrize("comment,want", [
+    ("# This helper explains how files are autogenerated by our tool chain.", False), ("# This file is autogenerated.", True), ("# Warning: this file was automatically generated", True), ("# how files are auto-generated; do not edit them", True),
+    ("# @generated", True), ("// このファイルは自動生成されました", True), ("# Diese Datei wurde automatisch erzeugt", True), ("# the table generated from the schema is read here", False),
+])
+def test_a_notice_speaks_of_the_file(comment, want):
+    assert origin.has_notice(comment) == want
+
+
+@pytest.mark.parametrize("path,text,want", [
+    ("src/a.py", "import a\n\n# Automatically generated, do not edit.\n\ndef f():\n    return 1\n", "generated"), ("src/a.ts", 'import { a,\n b } from "./c";\n\n// AUTOGENERATED FILE\nexport const d = 1;\n', "generated"), ("src/a.js", "function f() {}\n// AUTOGENERATED FILE\nf();\n", None),
+    ("a.min.js", "let a=1;", "minified"), ("src/a.py", "X = [" + ", ".join(map(str, range(100))) + "]\n", "data"), ("src/a.py", "X = [1, 2, 3]\n", None), ("src/a.rs", "fn f(){g(1);h(2)}" * 60, "minified"),
+])
+def test_headers_suffixes_and_small_literals(path, text, want):
+    got = origin.category(path, text, UP)
+    assert (got and got[0]) == want
+
+
+def test_the_latest_text_counts(spark):
+    from datetime import datetime
+
+    rows = [(1, "a.js", PACKED, datetime(2024, 1, 1)), (1, "a.js", WRITTEN, datetime(2024, 2, 1)), (2, "b.js", WRITTEN, datetime(2024, 1, 1)), (2, "b.js", PACKED, datetime(2024, 2, 1))]
+    source = spark.createDataFrame(rows, "file_id long, path string, text string, observed_at timestamp")
+    assert {(r.file_id, r.category) for r in files.unwritten_files(source, spark.createDataFrame([], "text string")).collect()} == {(2, "minified")}
+    python = source.withColumn("path", F.lit("a.py"))
+    assert {r.file_id for r in files.parse_errors(python).where("error_line > 0").collect()} == {2}
