@@ -14,6 +14,7 @@ source without documents makes the total 0 unless its share is 0; an empty table
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,9 +25,12 @@ from ..session import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEED = 17
-#: The dynamic program fills budgets up to this many tokens; what is above it has been filled by taking whole documents before.
-DP_BUDGET = 65_536
-BUCKETS = 256
+#: A first, quick program fills budgets up to this many tokens after the longest documents; it counts only if nothing better is possible.
+QUICK = 65_536
+#: Documents of one length are ranked in hash buckets of about this many.
+BUCKET_ROWS = 50_000
+#: Targets the driver holds at most; a larger table is refused, since it would no longer be one of sources.
+TARGETS_BOUND = 100_000
 #: Fixed value: the public byte-level BPE's pattern, and its meaning on ASCII text for the standard library's engine.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
@@ -71,37 +75,73 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return plain.mapInPandas(count, "doc_id long, source string, tokens long").where("tokens > 0").dropDuplicates(["doc_id"])
 
 
+def _program(spare: dict[int, int], width: int) -> dict[int, int]:
+    """The bounded-knapsack program on a bit set: numbers of each length whose sum is the largest that is not above width."""
+    steps = []
+    for k in sorted(spare):
+        n, power = min(spare[k], width // k), 1
+        while n > 0:
+            part = min(power, n)
+            steps.append((k, part))
+            n -= part
+            power *= 2
+    # Every block's first state is kept; a block's states are made again on the way back, so memory grows with the root of the steps.
+    block, mask = max(1, math.isqrt(len(steps))), (1 << (width + 1)) - 1
+    reach, kept, done = 1, [], 0
+    for done, (k, part) in enumerate(steps):
+        if reach >> width & 1:
+            break
+        if done % block == 0:
+            kept.append(reach)
+        reach |= (reach << (k * part)) & mask
+    else:
+        done = len(steps)
+    taken: dict[int, int] = {}
+    at = reach.bit_length() - 1
+    for first in range((len(kept) - 1) * block, -1, -block):
+        states = [kept[first // block]]
+        inside = steps[first : min(first + block, done)]
+        for k, part in inside:
+            states.append(states[-1] | (states[-1] << (k * part)) & mask)
+        for (k, part), before in zip(reversed(inside), reversed(states[:-1])):
+            if not before >> at & 1:
+                taken[k] = taken.get(k, 0) + part
+                at -= k * part
+    return taken
+
+
 def fill(lengths: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that their sum comes as near below the budget as can be."""
+    """How many documents of each length to take so that their sum comes as near below the budget as can be.
+
+    An equal part of every length is fixed first, which keeps the source's mix of lengths and leaves room for at least two
+    of the longest documents; what it leaves is filled to the best sum the remaining documents have. A quick filling takes long documents first and runs the program on the rest; if
+    it reaches the budget (down to the lengths' common divisor) nothing can be better, otherwise the program covers all.
+    """
     total = sum(k * n for k, n in lengths.items())
     if budget >= total:
         return dict(lengths)
-    # An equal part of every length keeps the source's mix of lengths; the remainders are filled below.
-    taken = {k: n * budget // total for k, n in lengths.items()}
+    fixed = max(0, budget - 2 * max((k for k in lengths if k <= budget), default=0))
+    taken = {k: n * fixed // total for k, n in lengths.items()}
     left = budget - sum(k * n for k, n in taken.items())
-    for k in sorted(lengths, reverse=True):
-        if left <= DP_BUDGET // 2:
-            break
-        more = min(lengths[k] - taken[k], max(0, left - DP_BUDGET // 4) // k)
-        taken[k] += more
-        left -= more * k
-    width = min(left, DP_BUDGET)
-    reach, mask, steps = 1, (1 << (width + 1)) - 1, []
-    for k in sorted(lengths):
-        if k > width or reach >> width & 1:
+    spare = {k: n - taken[k] for k, n in lengths.items() if n > taken[k] and k <= left}
+    if left <= 0 or not spare:
+        return taken
+    step = math.gcd(*spare)
+    more: dict[int, int] = {}
+    rest = left // step
+    spare = {k // step: n for k, n in spare.items()}
+    for k in sorted(spare, reverse=True):
+        if rest <= QUICK // 2:
             break
-        spare, power = min(lengths[k] - taken[k], width // k), 1
-        while spare > 0:
-            part = min(power, spare)
-            steps.append((k, part, reach))
-            reach |= (reach << (k * part)) & mask
-            spare -= part
-            power *= 2
-    at = reach.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += part
-            at -= k * part
+        more[k] = min(spare[k], max(0, rest - QUICK // 4) // k)
+        rest -= k * more[k]
+    if rest <= QUICK:
+        for k, n in _program({k: n - more.get(k, 0) for k, n in spare.items() if k <= rest}, rest).items():
+            more[k] = more.get(k, 0) + n
+    if sum(k * n for k, n in more.items()) < left // step:
+        more = _program(spare, left // step)
+    for k, n in more.items():
+        taken[k * step] += n
     return taken
 
 
@@ -124,7 +164,10 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     """doc_id, source, tokens, repeats of every document the mixture uses. targets is a small table of one row per source."""
     spark = documents.sparkSession
     docs = written(sized(documents, vocabulary))
-    goal = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source IS NOT NULL").limit(100_000).collect()}
+    rows = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source IS NOT NULL").limit(TARGETS_BOUND + 1).collect()
+    if len(rows) > TARGETS_BOUND:
+        raise ValueError(f"more than {TARGETS_BOUND} target sources")
+    goal = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in rows}
     lengths: dict[str, dict[int, int]] = {}
     for r in docs.groupBy("source", "tokens").agg(F.count("*").alias("n")).toLocalIterator():
         if r["source"] in goal:
@@ -133,7 +176,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     rows = [(s, k, passes, rest.get(k, 0)) for s, (passes, rest) in made.items() for k in lengths.get(s, {}) if passes or rest.get(k)]
     quota = spark.createDataFrame(pd.DataFrame(rows, columns=["source", "tokens", "passes", "take"]), "source string, tokens long, passes long, take long")
     # Ranks within a length: whole hash buckets first, then the order within one bucket, so that a length all documents have is not one group.
-    docs = docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.expr(f"pmod(h, {BUCKETS})"))
+    buckets = 1 + max((n for by in lengths.values() for n in by.values()), default=0) // BUCKET_ROWS
+    docs = docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.expr(f"pmod(h, {buckets})"))
     by = Window.partitionBy("source", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = docs.groupBy("source", "tokens", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0)))
     quota = before.join(quota, ["source", "tokens"]).withColumn("more", F.col("take") - F.col("before")).select("source", "tokens", "bucket", "passes", "more", "n")

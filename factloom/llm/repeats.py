@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.facts import latest
+from ..operators.quantiles import nearest_rank
 from ..session import written
 
 RUN, SHARE = 8, 0.5
@@ -81,8 +82,8 @@ def exact_share(words: list[str], run: int = RUN) -> int:
     return sum(marked)
 
 
-def repeated(documents: DataFrame, run: int = RUN, exact_from: float = SHARE) -> DataFrame:
-    """doc_id, words, repeated_words, share of every document. Where the share reaches exact_from, the runs themselves confirm it."""
+def repeated(documents: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, words, repeated_words, share of every document. Every document with a hit is counted again from its runs themselves."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -90,7 +91,7 @@ def repeated(documents: DataFrame, run: int = RUN, exact_from: float = SHARE) ->
         def made() -> pd.DataFrame:
             found = shares([w for _, w in held], run)
             for k, (_, words) in enumerate(held):
-                if words and found[k] >= exact_from * len(words):
+                if found[k]:
                     found[k] = exact_share(words, run)
             n = np.array([len(w) for _, w in held])
             return pd.DataFrame({"doc_id": [d for d, _ in held], "words": n, "repeated_words": found, "share": found / np.maximum(n, 1)})
@@ -115,6 +116,8 @@ def repeated(documents: DataFrame, run: int = RUN, exact_from: float = SHARE) ->
 
 _GRAMS = "three long, context long, two long, middle long, one long, n long"
 SHARD_ENTRIES = 1_000_000
+#: Tasks the requests to one shard are spread over; each holds the shard's array once.
+SPREAD = 4
 
 
 def _grams(documents: list[list[str]]):
@@ -224,7 +227,7 @@ def perplexity(documents: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"shard": [key], "hashes": [hashes[order].tobytes()], "logp": [part["logp"].to_numpy(np.float32)[order].tobytes()]})
 
     arrays = model(trigrams).withColumn("shard", shard).repartition(shards, "shard").mapInPandas(store, "shard long, hashes binary, logp binary")
-    arrays = written(arrays)
+    arrays = written(arrays).select("shard", F.lit(-1).alias("part"), F.col("hashes").alias("asked"), F.col("logp").alias("places"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("ids"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, held in _held(batches, 500_000):
@@ -238,19 +241,25 @@ def perplexity(documents: DataFrame) -> DataFrame:
                     # Each trigram once, its places as small numbers, and the documents as numbers into a list of their ids.
                     hashes, place = np.unique(three[piece].view(np.int64), return_inverse=True)
                     some, doc = np.unique(owner[piece], return_inverse=True)
-                    yield pd.DataFrame({"shard": [part[piece[0]]], "asked": [hashes.tobytes()], "places": [place.astype(np.int32).tobytes()], "docs": [doc.astype(np.int32).tobytes()], "ids": [names[some].tobytes()]})
+                    yield pd.DataFrame({"shard": [part[piece[0]]], "part": [int(names[0]) % SPREAD], "asked": [hashes.tobytes()], "places": [place.astype(np.int32).tobytes()], "docs": [doc.astype(np.int32).tobytes()], "ids": [names[some].tobytes()]})
 
-    asked = latest(documents.select("doc_id", "text"), "doc_id", "text").mapInPandas(ask, "shard long, asked binary, places binary, docs binary, ids binary")
+    asked = latest(documents.select("doc_id", "text"), "doc_id", "text").mapInPandas(ask, "shard long, part int, asked binary, places binary, docs binary, ids binary")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, table, value = None, np.empty(0, np.int64), np.empty(0, np.float32)
         for batch in batches:
-            for hashes, logp, asked_, places, docs, ids in zip(*(batch[c] for c in ("hashes", "logp", "asked", "places", "docs", "ids"))):
-                table, value = np.frombuffer(hashes, np.int64), np.frombuffer(logp, np.float32)
-                found = value[np.searchsorted(table, np.frombuffer(asked_, np.int64))].astype(float)
+            for key, part, first, second, docs, ids in zip(*(batch[c] for c in ("shard", "part", "asked", "places", "docs", "ids"))):
+                if part < 0:
+                    shard, table, value = key, np.frombuffer(first, np.int64), np.frombuffer(second, np.float32)
+                    continue
+                assert key == shard
+                found = value[np.searchsorted(table, np.frombuffer(first, np.int64))].astype(float)
                 index = np.frombuffer(docs, np.int32)
-                yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "n": np.bincount(index), "logp": np.bincount(index, found[np.frombuffer(places, np.int32)])})
+                yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "n": np.bincount(index), "logp": np.bincount(index, found[np.frombuffer(second, np.int32)])})
 
-    sums = asked.join(arrays, "shard").select("hashes", "logp", "asked", "places", "docs", "ids").mapInPandas(answer, "doc_id long, n long, logp double")
+    # A shard's array comes before its requests and enters Python once in each of the few tasks its requests are spread over.
+    spread = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).unionByName(asked.withColumn("salt", F.col("part")))
+    sums = spread.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part").mapInPandas(answer, "doc_id long, n long, logp double")
     return sums.groupBy("doc_id").agg(F.sum("n").alias("words"), F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
 
 
@@ -258,5 +267,6 @@ def bands(scored: DataFrame, documents: DataFrame, low: float = 0.02, high: floa
     """Perplexity with the band of the document's language (quantiles low and high) and whether it lies outside; spellings of a language are one."""
     lang = F.coalesce(F.nullif(F.lower(F.substring_index(F.trim("lang"), "-", 1)), F.lit("")), F.lit("und"))
     named = scored.join(documents.select("doc_id", lang.alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
-    limits = named.groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q"))
-    return named.join(limits, "lang").select("doc_id", "lang", "words", "perplexity", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), ((F.col("perplexity") < F.col("q")[0]) | (F.col("perplexity") > F.col("q")[1])).alias("rejected"))
+    limit = lambda q, name: nearest_rank(named, ["lang"], "perplexity", q).select("lang", F.col("value").alias(name))
+    joined = named.join(limit(low, "lower"), "lang").join(limit(high, "upper"), "lang")
+    return joined.select("doc_id", "lang", "words", "perplexity", "lower", "upper", ((F.col("perplexity") < F.col("lower")) | (F.col("perplexity") > F.col("upper"))).alias("rejected"))

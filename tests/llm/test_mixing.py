@@ -19,14 +19,34 @@ def test_fill_is_exact_where_the_lengths_allow(lengths, budget):
     taken = mixing.fill(lengths, budget)
     total = sum(k * n for k, n in taken.items())
     assert all(0 <= n <= lengths[k] for k, n in taken.items()) and total <= max(budget, 0)
-    # An equal part of every length is fixed first; what it leaves is filled to the best sum of what is left.
+    # An equal part of every length is fixed first, up to two of the longest documents; what it leaves is filled to the best sum of what is left.
     whole = sum(k * n for k, n in lengths.items())
     if budget < whole:
-        base = {k: n * budget // whole for k, n in lengths.items()}
+        fixed = max(0, budget - 2 * max((k for k in lengths if k <= budget), default=0))
+        base = {k: n * fixed // whole for k, n in lengths.items()}
         rest = budget - sum(k * n for k, n in base.items())
         assert total == budget - rest + max(x for x in subset_sums({k: lengths[k] - base[k] for k in lengths}) if x <= rest)
 
 
+@pytest.mark.parametrize("lengths,budget,want", [({100_000: 1, 80_000: 1}, 90_000, 80_000), ({70_000: 3, 90_000: 2, 110_001: 1}, 270_000, 250_001), ({100_000: 5}, 299_999, 200_000), ({90_000: 1, 16_000: 2}, 100_000, 90_000), ({6: 4, 10: 3}, 15, 12)])
+def test_long_documents_are_tried(lengths, budget, want):
+    assert sum(k * n for k, n in mixing.fill(lengths, budget).items()) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), min_size=1, max_size=8), st.integers(1, 200))
+def test_the_program_finds_the_best_sum(lengths, width):
+    taken = mixing._program(lengths, width)
+    assert all(n <= lengths[k] for k, n in taken.items()) and sum(k * n for k, n in taken.items()) == max(x for x in subset_sums(lengths) if x <= width)
+
+
+def test_many_targets_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TARGETS_BOUND", 1)
+    documents = spark.createDataFrame([(1, "a b", "docs")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.mix(documents, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats long"))
+
+
 def test_large_budget_leaves_less_than_a_document():
     r = random.Random(1)
     lengths = {r.randrange(50, 5000): r.randrange(1, 3000) for _ in range(800)}
