@@ -66,3 +66,17 @@ def test_search_of_one_shard():
     ids = lambda t: np.array([items.vocabulary[w] for w in t.split()])
     assert sorted(leaks.search(items, [(5, ids("x a b c d")), (6, ids("b c")), (7, ids("d b c d"))])) == [(5, 1, 4, 1, 0), (5, 2, 3, 2, 0), (7, 1, 3, 1, 1), (7, 2, 3, 1, 0)]
     assert leaks.search(items, [(6, ids("b c"))]) == []
+
+
+def test_items_above_the_bound_come_in_parts(spark, monkeypatch):
+    documents, items = made(7)
+    monkeypatch.setattr(leaks, "ITEMS_BOUND", 400)
+    found, _ = run(spark, documents, items, shard_words=300)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == brute.leaked(documents, [i for i in items if i[1]])
+
+
+def test_memory_does_not_follow_the_longest_item():
+    items = leaks.Items([(1, " ".join(f"w{k % 977}" for k in range(200_000)))], 12)
+    text = np.array([items.vocabulary[f"w{k % 977}"] for k in range(50_000)])
+    assert leaks.search(items, [(1, text)]) == [(1, 1, 50_000, 0, 0)]
+    assert items.heads.nbytes <= 48 * 200_000
