@@ -1,7 +1,7 @@
 import random
 
-import brute
 import numpy as np
+import plain
 import pytest
 from factloom.llm import leaks
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ def test_against_brute_force(spark, seed):
     documents, items = made(seed)
     documents += [(900, None), (901, ""), (902, "Same " * 5000), (903, "same " * 11 + "x " + "same " * 11), *documents[:3]]
     found, frame = run(spark, documents, items, shard_words=200)
-    want = brute.leaked([d for d in documents if d[1]], [i for i in items if i[1]])
+    want = plain.leaked([d for d in documents if d[1]], [i for i in items if i[1]])
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     assert {r.doc_id for r in leaks.without_leaks(frame, found).collect()} == {d for d, _ in documents} - {d for d, _ in want}
 
@@ -72,7 +72,7 @@ def test_items_above_the_bound_come_in_parts(spark, monkeypatch):
     documents, items = made(7)
     monkeypatch.setattr(leaks, "ITEMS_BOUND", 400)
     found, _ = run(spark, documents, items, shard_words=300)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == brute.leaked(documents, [i for i in items if i[1]])
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == plain.leaked(documents, [i for i in items if i[1]])
 
 
 def test_memory_does_not_follow_the_longest_item():

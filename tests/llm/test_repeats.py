@@ -2,7 +2,7 @@ import math
 import random
 from collections import Counter
 
-import brute
+import plain
 import pytest
 from factloom.llm import repeats
 from hypothesis import given, settings, strategies as st
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=40), min_size=1, max_size=5))
 def test_shares_and_exact_count(documents):
-    want = [brute.repeated_words(" ".join(d))[1] for d in documents]
+    want = [plain.repeated_words(" ".join(d))[1] for d in documents]
     assert repeats.shares(documents).tolist() == want
     assert [repeats.exact_share(d) for d in documents] == want
 
@@ -23,7 +23,7 @@ def test_operator(spark):
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3])]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("share", F.lit("clash")).withColumn("words", F.lit(1))
     got = {r.doc_id: (r.words, r.repeated_words) for r in repeats.repeated(frame).collect()}
-    assert got == {k: brute.repeated_words(t) for k, t in enumerate(texts) if t is not None}
+    assert got == {k: plain.repeated_words(t) for k, t in enumerate(texts) if t is not None}
     assert repeats.repeated(frame.limit(0)).count() == 0
 
 
