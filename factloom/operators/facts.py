@@ -104,3 +104,24 @@ def significant(value: Column, digits: int = 4) -> Column:
     power = digits - 1 - F.floor(F.log10(F.abs(value)))
     scale = F.pow(F.lit(10.0), power.cast("double"))
     return F.when(value.isNull(), None).when(value == 0, 0.0).otherwise(F.rint(value * scale) / scale)
+
+
+def record_table(family: str, records: DataFrame) -> FactTable:
+    """A fact table from nested records: one row per fact with its scalars and its lists of objects.
+
+    A list of objects becomes a relation of that name (fact_id, ordinal from 0, path, and the objects' fields); other
+    columns stay on the facts. Identity columns the records lack are filled: path '', lines 1, columns 0, no language, and
+    for the order a hash of the fact_id.
+    """
+    have = dict(records.dtypes)
+    defaults = {"fact_order": F.abs(F.xxhash64("fact_id")), "path": F.lit(""), "start_line": F.lit(1), "start_column": F.lit(0), "end_line": F.lit(1), "end_column": F.lit(0), "language": F.lit(None).cast("string")}
+    for name, value in defaults.items():
+        if name not in have:
+            records = records.withColumn(name, value.cast("string" if name in ("path", "language") else "long"))
+    nested = [c for c, t in have.items() if t.startswith("array<struct<")]
+    relations = {"facts": records.drop(*nested)}
+    for name in nested:
+        rows = records.select("fact_id", F.col("path").alias("_path"), F.posexplode(name).alias("ordinal", "_row"))
+        fields = [f.name for f in records.schema[name].dataType.elementType.fields]
+        relations[name] = rows.select("fact_id", F.col("ordinal").cast("long").alias("ordinal"), *([] if "path" in fields else [F.col("_path").alias("path")]), "_row.*")
+    return FactTable(family, relations)

@@ -2,9 +2,10 @@
 
 Weighted disjoint-set forests: the links are range-partitioned by their ids, so that most of a tree lies in one task and
 a very large tree or repository is split by size. Each task unites its links and gives every node the topmost id it can
-reach there and the offset to it. Only nodes that are the top of another task's trees go on to the next, smaller merge;
-its roots and offsets are then added. Where a merge would not become smaller, pointer doubling joins take its place, so
-no task ever holds more than about ROWS links. Nothing is collected.
+reach there and the offset to it. Only nodes that are the top of another task's trees go on to the next merge. Before it,
+their paths are compressed: a coin for each id takes about a quarter of the nodes out, whose children then point past
+them, so that every merge has fewer links than the one before, however the ids lie and however long the chains are. A
+merge's roots and offsets are then added below it. No task ever holds more than about ROWS links. Nothing is collected.
 
 Defined cases: a null child is no node; a null or absent parent makes a root of depth 0; repeated links count once; of
 several parents the greatest id counts; a chain that never ends has root '' and depth -1 and no path; an empty table
@@ -62,24 +63,35 @@ def _local(links: DataFrame, parts: int, paths: bool) -> DataFrame:
     return spread.mapInPandas(lambda batches: _unite(paths, batches), _OUT)
 
 
-def _double(links: DataFrame, count: int) -> DataFrame:
-    """The same by pointer doubling: every round joins the links with themselves and doubles the distance covered."""
-    now = links.select("kind", "node", F.col("parent").alias("top"), F.col("weight").alias("depth"), "via", F.lit(True).alias("open"))
-    for _ in range(math.ceil(math.log2(count + 1)) + 1):
-        up = now.select("kind", F.col("node").alias("top"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("via").alias("via2"))
-        now = written(
-            now.join(up, ["kind", "top"], "left").select(
-                "kind", "node", F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                F.when(F.col("top2").isNull(), F.col("via")).otherwise(F.concat("via2", "via")).alias("via"), F.col("top2").isNotNull().alias("open"),
-            )
-        )
-        if now.where("open").isEmpty():
-            break
-    loop = F.col("open")
-    return now.select("kind", "node", F.when(loop, "").otherwise(F.col("top")).alias("top"), F.when(loop, -1).otherwise(F.col("depth")).cast("long").alias("depth"), F.when(loop, F.array().cast("array<string>")).otherwise(F.col("via")).alias("via"))
-
-
-def _resolve(links: DataFrame, count: int, parts: int, paths: bool) -> DataFrame:
+def _onto(low: DataFrame, above: DataFrame) -> DataFrame:
+    """Nodes with a top and the offset to it, carried on to the top's own top where it has one."""
+    up = above.select("kind", F.col("node").alias("top"), F.col("top").alias("root"), F.col("depth").alias("more"), F.col("via").alias("before"))
+    loop, met = F.col("more") < 0, F.col("more").isNotNull() & (F.col("depth") > 0)
+    return low.join(up, ["kind", "top"], "left").select(
+        "kind", "node", F.when(met, F.when(loop, "").otherwise(F.col("root"))).otherwise(F.col("top")).alias("top"),
+        F.when(met, F.when(loop, F.lit(-1)).otherwise(F.col("depth") + F.col("more"))).otherwise(F.col("depth")).cast("long").alias("depth"),
+        F.when(met & ~loop, F.concat("before", "via")).otherwise(F.when(met, F.array().cast("array<string>")).otherwise(F.col("via"))).alias("via"),
+    )
+
+
+def _compressed(links: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The links without the nodes a coin takes out, whose children point past them, and those taken out.
+
+    A node leaves where its own coin shows tails and its parent's heads, so the node it is passed on to stays.
+    """
+    coin = lambda c: F.expr(f"pmod(xxhash64(kind, {c}, {level}), 2)") == 1
+    out = ~coin("node") & coin("parent")
+    gone = links.where(out)
+    past = gone.select("kind", F.col("node").alias("parent"), F.col("parent").alias("beyond"), F.col("weight").alias("further"), F.col("via").alias("before"))
+    kept = links.where(~out).join(past, ["kind", "parent"], "left").select(
+        "kind", "node", F.coalesce("beyond", "parent").alias("parent"), (F.col("weight") + F.coalesce("further", F.lit(0))).alias("weight"),
+        F.when(F.col("beyond").isNull(), F.col("via")).otherwise(F.concat("before", "via")).alias("via"),
+    )
+    return kept, gone
+
+
+def _resolve(links: DataFrame, count: int, rows: int, paths: bool, level: int = 0) -> DataFrame:
+    parts = max(1, math.ceil(count / rows))
     local = _local(links, parts, paths)
     if parts == 1:
         return local
@@ -90,15 +102,13 @@ def _resolve(links: DataFrame, count: int, parts: int, paths: bool) -> DataFrame
     left = on.count()
     if not left:
         return local
-    fewer = math.ceil(left / ROWS)
-    above = written(_resolve(on, left, fewer, paths) if fewer < parts else _double(on, left))
-    up = above.select("kind", F.col("node").alias("top"), F.col("top").alias("root"), F.col("depth").alias("more"), F.col("via").alias("before"))
-    loop, met = F.col("more") < 0, F.col("more").isNotNull() & (F.col("depth") > 0)
-    return local.join(up, ["kind", "top"], "left").select(
-        "kind", "node", F.when(met, F.when(loop, "").otherwise(F.col("root"))).otherwise(F.col("top")).alias("top"),
-        F.when(met, F.when(loop, F.lit(-1)).otherwise(F.col("depth") + F.col("more"))).otherwise(F.col("depth")).cast("long").alias("depth"),
-        F.when(met & ~loop, F.concat("before", "via")).otherwise(F.when(met, F.array().cast("array<string>")).otherwise(F.col("via"))).alias("via"),
-    )
+    if left <= rows:
+        return _onto(local, _local(on, 1, paths))
+    kept, gone = _compressed(on, level)
+    kept, gone = written(kept), written(gone)
+    above = written(_resolve(kept, kept.count(), rows, paths, level + 1))
+    out = _onto(gone.select("kind", "node", F.col("parent").alias("top"), F.col("weight").alias("depth"), "via"), above)
+    return _onto(local, written(above.unionByName(out)))
 
 
 def roots(links: DataFrame, paths: bool = False, rows: int = ROWS) -> DataFrame:
@@ -106,8 +116,7 @@ def roots(links: DataFrame, paths: bool = False, rows: int = ROWS) -> DataFrame:
     one = links.where(F.col("node").isNotNull()).groupBy("kind", "node").agg(F.max("parent").alias("parent"))
     via = F.array("node") if paths else F.array().cast("array<string>")
     one = written(one.select("kind", "node", "parent", F.lit(1).cast("long").alias("weight"), via.alias("via")))
-    count = one.count()
-    out = _resolve(one, count, max(1, math.ceil(count / rows)), paths)
+    out = _resolve(one, one.count(), rows, paths)
     out = out.select("kind", "node", F.col("top").alias("root_id"), "depth", "via")
     if not paths:
         return out.drop("via")

@@ -136,30 +136,34 @@ def payloads(facts: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return facts.where("payload IS NOT NULL").select("fact_id", "family", *more, F.expr(v).alias("v"))
 
 
-def entries(facts: DataFrame, distinct: bool = True) -> DataFrame:
-    """One row per entry of every list and map: fact_id, relation, entry_kind, parent_id, container_id, container_ordinal, map_key, ordinal, entry_id, value (JSON text)."""
-    # One delivery of each content is enough; deliveries that differ in encoding only meet in the final distinct.
-    read = payloads(facts.dropDuplicates(["fact_id", "family", "payload"]))
+def entries(facts: DataFrame) -> DataFrame:
+    """One row per entry of every list and map: fact_id, relation, entry_kind, parent_id, container_id, container_ordinal, map_key, ordinal, entry_id, value (JSON text).
+
+    The entries of one payload differ, so only those of facts delivered more than once are made distinct; the others are
+    not shuffled, and no payload is. Whether a fact is repeated is counted over the ids alone.
+    """
+    again = written(facts.where("payload IS NOT NULL").groupBy("fact_id").agg(F.count("*").alias("n")).where("n > 1").select("fact_id", F.lit(True).alias("again")))
+    read = payloads(facts.join(again, "fact_id", "left"), ("again",))
     row_cases, rest_cases = [], []
     for family, shape in SHAPES.items():
         rows, rest = _project("v", shape, "fact_id", "''", 0, LEVELS)
         row_cases.append(f"WHEN '{family}' THEN cast(concat({', '.join(rows)}) AS {_ROW})")
         if rest:
             rest_cases.append(f"WHEN '{family}' THEN cast(concat({', '.join(rest)}) AS {_REST})")
-    parts = [read.select("fact_id", F.expr(f"inline(CASE family {' '.join(row_cases)} END)"))]
+    parts = [read.select("fact_id", "again", F.expr(f"inline(CASE family {' '.join(row_cases)} END)"))]
     recursive = [f for f, shape in SHAPES.items() if NODE in shape.values()]
-    rests = [read.where(F.col("family").isin(recursive)).select("fact_id", F.expr(f"inline(CASE family {' '.join(rest_cases)} END)"))]
+    rests = [read.where(F.col("family").isin(recursive)).select("fact_id", "again", F.expr(f"inline(CASE family {' '.join(rest_cases)} END)"))]
     while rests:
-        left = written(rests[0].select("fact_id", F.expr("to_json(node)").alias("node"), "id", "path"))
+        left = written(rests[0].select("fact_id", "again", F.expr("to_json(node)").alias("node"), "id", "path"))
         if left.isEmpty():
             break
         left = left.withColumn("node", F.expr("try_parse_json(node)"))
         rows, rest = _project("node", NODE, "id", "path", 0, LEVELS)
-        parts.append(left.select("fact_id", F.expr(f"inline(cast(concat({', '.join(rows)}) AS {_ROW}))")))
-        rests = [left.select("fact_id", F.expr(f"inline(cast(concat({', '.join(rest)}) AS {_REST}))"))]
+        parts.append(left.select("fact_id", "again", F.expr(f"inline(cast(concat({', '.join(rows)}) AS {_ROW}))")))
+        rests = [left.select("fact_id", "again", F.expr(f"inline(cast(concat({', '.join(rest)}) AS {_REST}))"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    # A caller that drops columns and makes rows distinct itself asks for the rows as they are.
     out = out.withColumn("value", F.expr("to_json(value)"))
-    return out.distinct() if distinct else out
+    once = F.col("again").isNull() & F.col("fact_id").isNotNull()
+    return out.where(once).drop("again").unionByName(out.where(~once).drop("again").distinct())

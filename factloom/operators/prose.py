@@ -36,13 +36,14 @@ def _highest(sections: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def sentence_uniformity(sections: DataFrame, minimum_sentences: int = 5, minimum_words: int = 3) -> DataFrame:
+    # The lengths are a column of their own, so that a text is split once however often they are read.
     counts = F.transform(sentences(F.col("text")), lambda s: F.size(words(s)))
-    return _highest(sections, uniformity(counts, minimum_words, minimum_sentences), "uniformity")
+    return _highest(sections.select("fact_id", counts.alias("counts")), uniformity(F.col("counts"), minimum_words, minimum_sentences), "uniformity")
 
 
 def paragraph_uniformity(sections: DataFrame, minimum_paragraphs: int = 4, minimum_words: int = 30) -> DataFrame:
     counts = F.transform(paragraphs(F.col("text")), lambda p: F.size(words(p)))
-    return _highest(sections, uniformity(counts, minimum_words, minimum_paragraphs), "uniformity")
+    return _highest(sections.select("fact_id", counts.alias("counts")), uniformity(F.col("counts"), minimum_words, minimum_paragraphs), "uniformity")
 
 
 def opener_concentration(sections: DataFrame, minimum_sentences: int = 6, ignored: tuple[str, ...] = ("a", "i")) -> DataFrame:

@@ -13,7 +13,7 @@ _FOUND = ["fact_id", "entry_kind", "parent_id", "container_id", "container_ordin
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.entries(table(spark, d, "raw_fact"), distinct=False).select(*_FOUND).distinct()
+    return nested.entries(table(spark, d, "raw_fact")).select(*_FOUND)
 
 
 def p1_values(spark: SparkSession, d: str) -> DataFrame:

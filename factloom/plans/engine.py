@@ -225,6 +225,27 @@ def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | No
     return Report(summaries, failures, details([f for p in parts for f in p.findings], FINDINGS), of("rewrites", REWRITES), of("nodes", NODES), of("imports", IMPORTS))
 
 
+def portions(tables: dict[str, FactTable], ids: list[str], alone: int = 4) -> list[list[str]]:
+    """Rule ids in portions whose plans stay small: rules that share a scan together, the others a few at a time."""
+    shared: dict[tuple, list[str]] = {}
+    rest: list[str] = []
+    views: dict = {}
+    for id in ids:
+        result = evaluate(CATALOG[id], tables, None, views)
+        if isinstance(result, Counting):
+            shared.setdefault((id_of(result.table), result.relation), []).append(id)
+        elif isinstance(result, Measure):
+            shared.setdefault((id_of(result.table), ""), []).append(id)
+        else:
+            rest.append(id)
+    return [*shared.values(), *(rest[k : k + alone] for k in range(0, len(rest), alone))]
+
+
+def id_of(table: FactTable) -> int:
+    """What tells one view of a table from another while both are held."""
+    return id(table)
+
+
 def with_settings(one: Rule, **settings) -> Rule:
     return replace(one, settings=one.settings | settings)
 

@@ -1,5 +1,5 @@
 """The rule catalog: pure functions from fact tables to results, by family."""
 
-from . import calls, classes, data, devices, domain, functions, modules, statements, suites, surfaces
+from . import calls, classes, data, devices, domain, functions, judgments, modules, records, shapes, statements, suites, surfaces
 
-__all__ = ["calls", "classes", "data", "devices", "domain", "functions", "modules", "statements", "suites", "surfaces"]
+__all__ = ["calls", "classes", "data", "devices", "domain", "functions", "judgments", "modules", "records", "shapes", "statements", "suites", "surfaces"]

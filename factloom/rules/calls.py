@@ -10,7 +10,6 @@ from ..plans.engine import rule
 from .shape import counted, counted_where, text
 
 # Callables the rules look for.
-BLOCKING = ("requests.get", "requests.post", "requests.put", "requests.delete", "requests.request", "urllib.request.urlopen", "subprocess.run", "subprocess.check_output", "subprocess.check_call", "socket.create_connection")
 REFLECTIVE = ("locals", "vars", "globals", "eval", "exec")
 DEBUG = ("print", "pprint", "breakpoint", "pdb.set_trace", "ic")
 WEAK_HASHES = ("hashlib.md5", "hashlib.sha1", "md5", "sha1")
@@ -34,9 +33,9 @@ def unchecked_result_call(modules: FactTable, checked_callables: tuple[str, ...]
 
 
 @rule("ALL-CALL0002", "ModuleFact")
-def unbounded_blocking_call(modules: FactTable, bounded_callables: tuple[str, ...] = BLOCKING, bound_names: tuple[str, ...] = ("timeout", "deadline", "duration")) -> Result:
-    """A blocking call without a bound among its keywords."""
-    return _calls(modules, F.col("callee").isin(*bounded_callables) & ~F.arrays_overlap("keywords", F.array(*map(F.lit, bound_names))), text("`", F.col("callee"), "` may never return"))
+def unbounded_blocking_call(modules: FactTable, bounded_callables: tuple[str, ...] = (), bound_names: tuple[str, ...] = ("timeout", "deadline", "duration")) -> Result:
+    """A call of a listed blocking callable without a bound among its keywords; none is listed by default."""
+    return _calls(modules, (F.col("callee").isin(*bounded_callables) if bounded_callables else F.lit(False)) & ~F.arrays_overlap("keywords", F.array(*map(F.lit, bound_names))), text("`", F.col("callee"), "` may never return"))
 
 
 @rule("ALL-CONT0003", "ModuleFact")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +12,7 @@ from ..operators.json_sql import as_bool as _bool, decoded as _decoded, field as
 from ..plans import engine
 from ..session import table, written
 from ..sources import domain as tables_of, payloads, python_source, surfaces
-from . import calls, classes, data, devices, domain, functions, modules, statements, suites  # noqa: F401  registers the rules
+from . import calls, classes, data, devices, domain, functions, judgments, modules, records, shapes, statements, suites  # noqa: F401  registers the rules
 
 DATA_RULES = ["ALL-DATA0001", "ALL-DATA0004", "ALL-DATA0006", "ALL-DATA0007", "ALL-DATA0009", "ALL-DATA0012", "ALL-DATA0013", "ALL-REVI0001", "ALL-WAIV0001", "ALL-DUPL0003", "PY-TEST0004", "PY-TEST0005"]
 
@@ -50,19 +51,17 @@ def rules_data_findings(spark: SparkSession, d: str) -> DataFrame:
     return report.findings.groupBy("rule", "fact_id").agg(F.count("*").alias("findings"))
 
 
-def _python(spark: SparkSession, d: str) -> dict[str, FactTable]:
-    return python_source.tables(table(spark, d, "source_file"))
+def _python(spark: SparkSession, d: str, *relations: str) -> dict[str, FactTable]:
+    return python_source.tables(table(spark, d, "source_file"), list(relations) or None)
 
 
 def rules_python_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Every rule over the facts of the Python sources."""
     tables = _python(spark, d)
     ids = [id for id, r in engine.CATALOG.items() if set(r.families) <= set(tables)]
-    parts = [engine.run(spark, tables, engine.Options(select=ids[k : k + 20])).summaries for k in range(0, len(ids), 20)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return written(out.select("rule", "observation_count", "unassessed_count", "failure_count", "finding_count"))
+    # A few rules at a time, each part written at once, so that the driver never holds the plan of the whole catalog.
+    parts = [written(engine.run(spark, tables, engine.Options(select=chosen)).summaries) for chosen in engine.portions(tables, ids)]
+    return reduce(DataFrame.unionByName, parts).select("rule", "observation_count", "unassessed_count", "failure_count", "finding_count")
 
 
 DOMAIN_RULES = ["ALL-HIST0001", "ALL-HIST0002", "ALL-COMM0001", "ALL-COMM0003", "ALL-WRIT0003", "ALL-WRIT0004", "ALL-WRIT0005"]
@@ -90,22 +89,22 @@ def rules_surface_values(spark: SparkSession, d: str) -> DataFrame:
 
 def facts_functions(spark: SparkSession, d: str) -> DataFrame:
     """The callables of the Python sources with their measures."""
-    return _python(spark, d)["FunctionFact"].facts().select("fact_id", "path", "qualname", "statements", "conditionals", "nesting", "lines", "references")
+    return _python(spark, d, "function")["FunctionFact"].facts().select("fact_id", "path", "qualname", "statements", "conditionals", "nesting", "lines", "references")
 
 
 def facts_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls of the Python sources by callee."""
-    return _python(spark, d)["ModuleFact"].relation("call").groupBy("callee").agg(F.count("*").alias("calls"), F.count_distinct("path").alias("files"))
+    return _python(spark, d, "call")["ModuleFact"].relation("call").groupBy("callee").agg(F.count("*").alias("calls"), F.count_distinct("path").alias("files"))
 
 
 def facts_classes(spark: SparkSession, d: str) -> DataFrame:
     """The classes of the Python sources."""
-    return _python(spark, d)["ClassFact"].facts().select("fact_id", "path", "name", F.array_join("bases", ",").alias("bases"), "methods", "fields")
+    return _python(spark, d, "class")["ClassFact"].facts().select("fact_id", "path", "name", F.array_join("bases", ",").alias("bases"), "methods", "fields")
 
 
 def facts_imports(spark: SparkSession, d: str) -> DataFrame:
     """Imports of the Python sources and whether they are used."""
-    return _python(spark, d)["ModuleFact"].relation("import").select("path", "ordinal", "module", "name", "level", "is_used")
+    return _python(spark, d, "import")["ModuleFact"].relation("import").select("path", "ordinal", "module", "name", "level", "is_used")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators.facts import FactTable
-from ..operators.text import secret_name
+from ..operators.text import placeholder, secret_name
 from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
 from .shape import counted, counted_where, flag, highest, text
@@ -13,7 +13,6 @@ from .shape import counted, counted_where, flag, highest, text
 # Base errors of the language, generators that are no secret source.
 BASE_ERRORS = ("Exception", "BaseException", "Error")
 RANDOM = r"^(?:random|np\.random|numpy\.random)\.|\brandom\."
-PLACEHOLDER = r"(?i)^['\"]\s*(?:|none|null|changeme|change_me|todo|xxx|example|.*(?:your|<|placeholder|dummy).*)\s*['\"]$"
 
 
 @rule("ALL-BRAN0001", "ModuleFact")
@@ -116,7 +115,7 @@ def unseeded_randomness_for_secrets(modules: FactTable) -> Result:
 @rule("ALL-SECU0004", "ModuleFact")
 def credential_written_into_source(modules: FactTable) -> Result:
     """A literal bound to a secret-looking name. The literal is never shown."""
-    rows = modules.relation("binding").where(secret_name(F.col("name")) & (F.col("value_kind") == "constant") & F.col("value_text").rlike("^['\"]") & ~F.col("value_text").rlike(PLACEHOLDER))
+    rows = modules.relation("binding").where(secret_name(F.col("name")) & (F.col("value_kind") == "constant") & F.col("value_text").rlike("^['\"]") & ~placeholder(F.regexp_replace("value_text", "^['\"]|['\"]$", "")))
     return counted(modules, rows, text("`", F.col("name"), "` is written into the source"))
 
 

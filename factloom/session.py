@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()
 CHECKPOINT = "spark.checkpoint.dir"
 
 
@@ -26,11 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The frame's rows as a table in the shared folder: the plan is cut, and a lost executor costs no recomputation."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/factloom-{uuid.uuid4().hex}"
+    """The frame's rows as a table in the shared folder: the plan is cut, and a lost executor costs no recomputation.
+
+    All of an application's tables lie in one folder of its own, which is deleted when the application ends.
+    """
+    path = new_path(frame.sparkSession)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path for a new table in the application's own folder."""
+    folder = f"{shared_folder(spark)}/factloom-{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as the cluster has cores, for work that is dear per row; a frame that has them is not shuffled."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
 def byte_size(frame: DataFrame) -> int:

@@ -1,15 +1,18 @@
 """Python sources as fact tables: one parse per file, typed relations out.
 
 Every file is parsed once inside `mapInPandas`; its facts leave as rows of (relation, fact_id, ordinal, JSON) and are
-written once, split by relation, so a rule that reads one relation scans that relation only. A file that does not parse
-gives no facts. Repeated file rows count once.
+written once, split by relation, so a rule that reads one relation scans that relation only. A caller that names the
+relations it needs gets those alone. A file that does not parse gives no facts. Repeated file rows count once, of several
+texts of a file the latest.
+
+A fact's id names its repository, so equal paths of two repositories stay apart. fact_order puts a file's facts of one
+family in the order in which they stand, files by their file_id (below 2^39; at most 2^24 facts of a family in a file).
 """
 
 from __future__ import annotations
 
 import ast
 import json
-import uuid
 import warnings
 from collections.abc import Iterator
 
@@ -17,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.facts import FactTable, latest
-from ..session import shared_folder
+from ..session import new_path, spread
+from . import python_shapes
 
 #: Columns of each relation besides fact_id and ordinal. The first relation of a family is its facts.
 RELATIONS: dict[str, dict[str, str]] = {
@@ -48,7 +52,10 @@ RELATIONS: dict[str, dict[str, str]] = {
     "export": {"name": "string", "line": "long"},
     "reference": {"name": "string", "n": "long"},
     "declaration": {"name": "string", "kind": "string", "is_public": "boolean", "line": "long"},
-}
+} | python_shapes.RELATIONS
+#: The first relation of each family; the others belong to ModuleFact, these to the family named.
+_FAMILY = {"function": "FunctionFact", "parameter": "FunctionFact", "class": "ClassFact", "method": "ClassFact"}
+_FILE_FACTS = 1 << 24
 LIFECYCLE = ("__init_subclass__", "__new__", "__init__", "__post_init__", "__del__")
 _INERT = (ast.Pass, ast.Continue)
 _JUMPS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
@@ -78,10 +85,11 @@ def _is_test(path: str) -> bool:
 class _Reader(ast.NodeVisitor):
     """Walks one module and keeps its rows by relation."""
 
-    def __init__(self, path: str, text: str, tree: ast.Module):
-        self.path, self.text, self.tree, self.test = path, text, tree, _is_test(path)
+    def __init__(self, path: str, text: str, tree: ast.Module, repository: str | None = None, wanted: frozenset[str] = frozenset(RELATIONS)):
+        self.path, self.text, self.tree, self.test, self.wanted = path, text, tree, _is_test(path), wanted
+        self.place = f"{repository}:{path}" if repository else path
         self.rows: dict[str, list[tuple[str, dict]]] = {k: [] for k in RELATIONS}
-        self.module_id = f"module:{path}"
+        self.module_id = f"module:{self.place}"
         self.names: dict[str, int] = {}
         for n in ast.walk(tree):
             if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load):
@@ -95,6 +103,9 @@ class _Reader(ast.NodeVisitor):
         self.generic_visit(tree)
         self.blocks()
         self.symbols()
+        if wanted & python_shapes.RELATIONS.keys():
+            for relation, row in python_shapes.read(tree):
+                self.add(relation, **row)
 
     def add(self, relation: str, fact: str | None = None, **row) -> None:
         self.rows[relation].append((fact or self.module_id, row))
@@ -169,8 +180,8 @@ class _Reader(ast.NodeVisitor):
         owners = [o.name for o in self.owner if hasattr(o, "name")]
         qualname = ".".join([*owners, node.name])
         method = bool(self.owner) and isinstance(self.owner[-1], ast.ClassDef)
-        fact = f"function:{self.path}:{qualname}:{node.lineno}"
-        if self.test and node.name.startswith("test"):
+        fact = f"function:{self.place}:{qualname}:{node.lineno}"
+        if "test" in self.wanted and self.test and node.name.startswith("test"):
             self._test_case(node)
         doc = ast.get_docstring(node)
         body = node.body[1:] if doc is not None else node.body
@@ -230,18 +241,21 @@ class _Reader(ast.NodeVisitor):
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
     def annotation(self, node: ast.AST) -> None:
+        if "annotation" not in self.wanted:
+            return
         text = ast.unparse(node)
         names = sorted({dotted(n) for n in ast.walk(node) if isinstance(n, (ast.Name, ast.Attribute))})
         self.add("annotation", text=text, names=names, nullable_boolean=text in ("bool | None", "None | bool", "Optional[bool]"), line=node.lineno)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        fact = f"class:{self.path}:{node.name}:{node.lineno}"
+        fact = f"class:{self.place}:{node.name}:{node.lineno}"
         methods = [m for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
+        shown = methods if "method" in self.wanted else []
         fields = [s for s in node.body if isinstance(s, (ast.Assign, ast.AnnAssign))]
         rest = [s for s in node.body if not (isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant))]
         protocol = lambda n: n.startswith("__") and n.endswith("__")
         self.add("class", fact, name=node.name, bases=[dotted(b) for b in node.bases], decorators=[dotted(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list], methods=len(methods), public_methods=sum(not m.name.startswith("_") for m in methods), fields=len(fields), is_empty=not rest, is_public=not node.name.startswith("_"), line=node.lineno, end=node.end_lineno)
-        for m in methods:
+        for m in shown:
             decorators = [dotted(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in m.decorator_list]
             positional = [a.arg for a in (*m.args.posonlyargs, *m.args.args)]
             first = positional[0] if positional else None
@@ -333,6 +347,8 @@ class _Reader(ast.NodeVisitor):
     def call(self, node: ast.Call, discarded: bool) -> None:
         functions = [o for o in self.owner if isinstance(o, (ast.FunctionDef, ast.AsyncFunctionDef))]
         first = node.args[0] if node.args else None
+        if "call" not in self.wanted:
+            return
         self.add("call", callee=dotted(node.func), keywords=[k.arg for k in node.keywords if k.arg], arguments=len(node.args), first=ast.unparse(first) if first is not None else None, first_is_literal=isinstance(first, (ast.Constant, ast.Dict, ast.List)), discarded=discarded, in_loop=self.loops > 0, in_function=functions[-1].name if functions else None, in_async=bool(functions) and isinstance(functions[-1], ast.AsyncFunctionDef), line=node.lineno, column=node.col_offset)
 
     def _comprehension(self, node) -> None:
@@ -351,11 +367,11 @@ class _Reader(ast.NodeVisitor):
     def _assign(self, node) -> None:
         targets = node.targets if isinstance(node, ast.Assign) else [node.target]
         value = node.value
-        for t in targets:
+        for t in targets if "binding" in self.wanted else ():
             for n in ast.walk(t):
                 if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
                     self.add("binding", name=n.id, value_kind=type(value).__name__.lower() if value is not None else None, value_text=ast.unparse(value) if value is not None else None, line=node.lineno, in_loop_header=False, is_constant=not self.owner and n.id.isupper())
-        if isinstance(value, ast.Constant) and isinstance(value.value, str):
+        if "literal" in self.wanted and isinstance(value, ast.Constant) and isinstance(value.value, str):
             self.literal(value, "assigned")
         if isinstance(node, ast.AnnAssign):
             self.annotation(node.annotation)
@@ -389,60 +405,62 @@ class _Reader(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def read(path: str, text: str) -> dict[str, list[tuple[str, dict]]]:
+def read(path: str, text: str, repository: str | None = None, wanted: frozenset[str] = frozenset(RELATIONS)) -> dict[str, list[tuple[str, dict]]]:
     """All rows of one module; raises SyntaxError where it does not parse."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return _Reader(path, text, ast.parse(text)).rows
+        return _Reader(path, text, ast.parse(text), repository, wanted).rows
 
 
-def tables(files: DataFrame) -> dict[str, FactTable]:
-    """Fact tables of the Python files of a source table (file_id, path, text; the latest row of each file)."""
+def tables(files: DataFrame, relations: list[str] | None = None) -> dict[str, FactTable]:
+    """Fact tables of the Python files of a source table (file_id, repository, path, text, ingested_at).
+
+    relations: those that are needed; None: all. A family's facts are read where it or one of its children is needed.
+    """
+    owner = {"FunctionFact": "function", "ClassFact": "class", "ModuleFact": "module"}
+    wanted = frozenset(RELATIONS if relations is None else [*relations, *(owner[_FAMILY.get(r, "ModuleFact")] for r in relations)])
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for file, path, text in zip(batch["file_id"], batch["path"], batch["text"]):
+            for file, repository, path, text in zip(batch["file_id"], batch["repository"], batch["path"], batch["text"]):
                 try:
-                    rows = read(path, text.lstrip("﻿"))
+                    rows = read(path, text.lstrip("﻿"), repository, wanted)
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 for relation, found in rows.items():
+                    if relation not in wanted:
+                        continue
                     seen: dict[str, int] = {}
-                    for fact, row in found:
+                    for number, (fact, row) in enumerate(found):
                         k = row.pop("_ordinal", None)
                         k = seen.setdefault(fact, 0) if k is None else k
                         seen[fact] = seen.get(fact, 0) + 1
                         place = [row.pop(x, None) for x in ("_line", "_column", "_end")]
-                        out.append((relation, file, fact, path, k, *place, json.dumps(row, ensure_ascii=True)))
-            yield pd.DataFrame(out, columns=["relation", "file_id", "fact_id", "path", "ordinal", "line", "column", "end", "row"]).astype({"line": "Int64", "column": "Int64", "end": "Int64"})
-
-    rows_ = latest(files.where("path LIKE '%.py' AND text IS NOT NULL").select("file_id", "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
-    rows = rows_.mapInPandas(extract, "relation string, file_id long, fact_id string, path string, ordinal long, line long, column long, end long, row string")
-    spark = files.sparkSession
-    folder = f"{shared_folder(spark)}/factloom-{uuid.uuid4().hex}"
+                        out.append((relation, file, number, fact, path, k, *place, json.dumps(row, ensure_ascii=True)))
+            yield pd.DataFrame(out, columns=["relation", "file_id", "number", "fact_id", "path", "ordinal", "line", "column", "end", "row"]).astype({"line": "Int64", "column": "Int64", "end": "Int64"})
+
+    repository = F.col("repository") if "repository" in files.columns else F.lit(None).cast("string").alias("repository")
+    rows_ = latest(files.where("path LIKE '%.py' AND text IS NOT NULL").select("file_id", repository, "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last(), "text").drop("ingested_at")
+    schema = "relation string, file_id long, number long, fact_id string, path string, ordinal long, line long, column long, end long, row string"
+    rows = spread(rows_).mapInPandas(extract, schema)
+    folder = new_path(files.sparkSession)
     rows.write.partitionBy("relation").parquet(folder)
-    schema = "relation string, file_id long, fact_id string, path string, ordinal long, line long, column long, end long, row string"
-    read_ = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    read_ = files.sparkSession.read.schema(schema).option("basePath", folder).parquet(folder)
 
     def relation(name: str) -> DataFrame:
         columns = {c: t for c, t in RELATIONS[name].items() if t}
         typed = F.from_json("row", ", ".join(f"`{c}` {t}" for c, t in columns.items()))
-        return read_.where(F.col("relation") == name).select("file_id", "fact_id", "path", "ordinal", F.col("line").alias("_l"), F.col("column").alias("_c"), F.col("end").alias("_e"), typed.alias("r"))
+        return read_.where(F.col("relation") == name).select("file_id", "number", "fact_id", "path", "ordinal", F.col("line").alias("_l"), F.col("column").alias("_c"), F.col("end").alias("_e"), typed.alias("r"))
 
     def facts(name: str) -> DataFrame:
         columns = [F.col(f"r.{c}").alias(c) for c, t in RELATIONS[name].items() if t and c not in ("line", "end")]
         start = F.coalesce("_l", "r.line", F.lit(1)) if "line" in RELATIONS[name] else F.coalesce("_l", F.lit(1))
         end = F.coalesce("_e", "r.end", start) if "end" in RELATIONS[name] else F.coalesce("_e", start)
-        return relation(name).select((F.col("file_id") * 100_000 + F.col("ordinal")).alias("fact_order"), "fact_id", "path", start.cast("long").alias("start_line"), F.coalesce("_c", F.lit(0)).cast("long").alias("start_column"), end.cast("long").alias("end_line"), F.lit(0).cast("long").alias("end_column"), F.lit("python").alias("language"), *columns)
+        return relation(name).select((F.col("file_id") * _FILE_FACTS + F.col("number")).alias("fact_order"), "fact_id", "path", start.cast("long").alias("start_line"), F.coalesce("_c", F.lit(0)).cast("long").alias("start_column"), end.cast("long").alias("end_line"), F.lit(0).cast("long").alias("end_column"), F.lit("python").alias("language"), *columns)
 
     def child(name: str) -> DataFrame:
         return relation(name).select("fact_id", "path", "ordinal", *(F.col(f"r.{c}").alias(c) for c, t in RELATIONS[name].items() if t))
 
-    module = facts("module")
-    inside = {k: child(k) for k in ("call", "import", "handler", "raise", "try", "comprehension", "annotation", "literal", "attribute", "binding", "branch", "block", "effect", "test", "enum", "export", "reference", "declaration")}
-    return {
-        "FunctionFact": FactTable("FunctionFact", {"facts": facts("function"), "parameters": child("parameter")}),
-        "ClassFact": FactTable("ClassFact", {"facts": facts("class"), "methods": child("method")}),
-        "ModuleFact": FactTable("ModuleFact", {"facts": module, **inside}),
-    }
+    first = {"FunctionFact": ("function", {"parameters": "parameter"}), "ClassFact": ("class", {"methods": "method"}), "ModuleFact": ("module", {k: k for k in RELATIONS if k not in _FAMILY and k != "module"})}
+    return {family: FactTable(family, {"facts": facts(own), **{name: child(k) for name, k in children.items() if k in wanted}}) for family, (own, children) in first.items() if own in wanted}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from factloom.operators.nested import NODE, SHAPES
 
