@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def n_unique(value: Column | str) -> Column:
@@ -59,3 +59,51 @@ def stem(path: Column) -> Column:
 def plain_language(name: Column) -> Column:
     """One spelling for a language: lower case, without region, script or white space; null where nothing is left."""
     return F.nullif(F.lower(F.substring_index(F.regexp_replace(F.trim(name), "_", "-"), "-", 1)), F.lit(""))
+
+
+def strip_start(text: Column, signs: str) -> Column:
+    """The text without any of these signs at its start."""
+    return F.ltrim(text, F.lit(signs))
+
+
+def strip_end(text: Column, signs: str) -> Column:
+    return F.rtrim(text, F.lit(signs))
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    """The text without one prefix, if it has it."""
+    return F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
+
+
+def without_suffix(text: Column, suffix: str) -> Column:
+    return F.when(text.endswith(suffix), F.left(text, F.length(text) - len(suffix))).otherwise(text)
+
+
+def unsigned(value: Column) -> Column:
+    """An unsigned 32-bit integer, held in a long; null outside its range."""
+    return F.when(value.between(0, (1 << 32) - 1), value.cast("long"))
+
+
+def sum_across(*values: Column) -> Column:
+    """The sum of a row's values; nulls count as 0."""
+    return sum((F.coalesce(v, F.lit(0)) for v in values), F.lit(0))
+
+
+def join_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join that fails where the right side has several rows for a key. The check is part of the right side's only pass, one aggregate per key."""
+    others = [c for c in right.columns if c not in keys]
+    checked = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    only = F.when(F.assert_true(F.col("_n") == 1, "the right side of a many-to-one join repeats a key").isNull(), F.col("_row"))
+    return left.join(checked.select(*keys, only.alias("_row")).select(*keys, "_row.*"), keys, how)
+
+
+#: Rows each side of a cross join may have.
+SMALL = 10_000
+
+
+def small_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of two small tables; larger ones are refused, a cross join of them being no plan for a cluster."""
+    for side in (left, right):
+        if side.limit(SMALL + 1).count() > SMALL:
+            raise ValueError(f"a side of a cross join has more than {SMALL} rows")
+    return left.crossJoin(F.broadcast(right))

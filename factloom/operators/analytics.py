@@ -381,3 +381,38 @@ def cont_nesting_depth(spark: SparkSession, d: str) -> DataFrame:
     sums = events.groupBy("fact", "at").agg(F.sum("n").alias("n"))
     depth = F.sum("n").over(Window.partitionBy("fact").orderBy("at"))
     return sums.withColumn("depth", depth).groupBy("fact").agg(F.max("depth").alias("depth")).where("depth > 3")
+
+
+@query("""SELECT p_partkey, upper(p_brand) AS brand, ltrim(p_name, 'abc') AS from_start, rtrim(p_name, 'xyz ') AS from_end, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded,
+ CASE WHEN starts_with(p_brand, 'Brand#') THEN substr(p_brand, 7) ELSE p_brand END AS no_prefix, CASE WHEN suffix(p_type, 'e') THEN left(p_type, length(p_type) - 1) ELSE p_type END AS no_suffix,
+ CAST(substring(p_name, 2, 3) AS VARCHAR) AS bytes, CAST(len(list_distinct(string_split(p_name, ' '))) AS BIGINT) AS kinds, len(list_filter(string_split(p_name, ' '), lambda w: length(w) < 3)) = 0 AS all_long,
+ CAST(p_size AS UINTEGER)::BIGINT AS unsigned, round(ln(p_retailprice), 6) AS log_price, p_size BETWEEN 10 AND 20 AS middle, coalesce(p_size, 0) + coalesce(nullif(p_size, 7), 0) AS summed FROM part""")
+def ops_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Text, list, binary and number expressions over one row."""
+    parts = F.split("p_name", " ")
+    return table(spark, d, "part").select(
+        "p_partkey", F.upper("p_brand").alias("brand"), C.strip_start(F.col("p_name"), "abc").alias("from_start"), C.strip_end(F.col("p_name"), "xyz ").alias("from_end"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"),
+        C.without_prefix(F.col("p_brand"), "Brand#").alias("no_prefix"), C.without_suffix(F.col("p_type"), "e").alias("no_suffix"), F.substring(F.col("p_name").cast("binary"), 2, 3).cast("string").alias("bytes"),
+        F.size(F.array_distinct(parts)).cast("long").alias("kinds"), F.forall(parts, lambda w: F.length(w) >= 3).alias("all_long"), C.unsigned(F.col("p_size")).alias("unsigned"), F.round(F.log("p_retailprice"), 6).alias("log_price"),
+        F.col("p_size").between(10, 20).alias("middle"), C.sum_across(F.col("p_size"), F.nullif(F.col("p_size"), F.lit(7))).alias("summed"),
+    )
+
+
+@query("""WITH r AS (SELECT * FROM region), n AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS customers, avg(c_acctbal) AS mean FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT r_name, n_nationkey, r_regionkey AS left_key, n_regionkey AS right_key, customers, round(mean, 6) AS mean, first_nation, last_nation FROM r FULL JOIN n ON r_regionkey = n_regionkey AND customers > 3
+LEFT JOIN (SELECT n_regionkey AS k, arg_min(n_name, n_nationkey) AS first_nation, arg_max(n_name, n_nationkey) AS last_nation FROM nation GROUP BY ALL) ON k = r_regionkey""")
+def ops_many_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """First, last and mean of groups; a full join that keeps both keys; and a join whose right side is checked to have one row for each key."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.mean("c_acctbal").alias("mean"))
+    nation = table(spark, d, "nation")
+    n = nation.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", F.col("n_regionkey").alias("right_key"), F.coalesce("customers", F.lit(0)).alias("customers"), F.round("mean", 6).alias("mean"))
+    r = table(spark, d, "region").select("r_name", F.col("r_regionkey").alias("left_key"))
+    both = r.join(n, (F.col("left_key") == F.col("right_key")) & (F.col("customers") > 3), "full")
+    ends = nation.groupBy(F.col("n_regionkey").alias("left_key")).agg(F.min_by("n_name", "n_nationkey").alias("first_nation"), F.max_by("n_name", "n_nationkey").alias("last_nation"))
+    return C.join_many_to_one(both, ends, ["left_key"], "left").select("r_name", "n_nationkey", "left_key", "right_key", "customers", "mean", "first_nation", "last_nation")
+
+
+@query("SELECT r_name, n_name, n_regionkey = r_regionkey AS inside FROM region CROSS JOIN nation")
+def ops_pairs_of_small_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of two tables of a checked, small size."""
+    return C.small_pairs(table(spark, d, "region"), table(spark, d, "nation")).select("r_name", "n_name", (F.col("n_regionkey") == F.col("r_regionkey")).alias("inside"))

@@ -29,7 +29,7 @@ def schema(columns: list[tuple[str, str]]) -> T.StructType:
 def conform(frame: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """The frame with exactly these columns and types; a column it lacks is null."""
     have = set(frame.columns)
-    return frame.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns))
+    return frame.selectExpr(*(f"CAST({f'`{n}`' if n in have else 'NULL'} AS {t}) AS `{n}`" for n, t in columns))
 
 
 @dataclass(frozen=True)

@@ -184,10 +184,11 @@ def _others(spark: SparkSession, compiled: list[Compiled]) -> Part:
     return Part(conform(listed.join(counted, "rule_order", "left").fillna(0), _COUNTS), judged.where("failed").drop("failed", "unassessed"), found, compiled)
 
 
-def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | None = None, catalog: dict[str, Rule] | None = None, fuse: bool = True) -> Report:
+def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | None = None, catalog: dict[str, Rule] | None = None, fuse: bool = True, results: dict | None = None) -> Report:
     """Evaluate every selected rule whose families are there; a rule without its families is skipped, not passed.
 
     fuse: rules that count rows of one relation, or measure facts of one table, share one scan. The results are the same.
+    results: what rules have been evaluated to already, by id.
     """
     options = options or Options()
     catalog = CATALOG if catalog is None else catalog
@@ -196,7 +197,7 @@ def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | No
     shared: dict[tuple, list] = {}
     alone: list[Compiled] = []
     for k, r in enumerate(chosen):
-        result = evaluate(r, tables, options.settings.get(r.id), views)
+        result = results[r.id] if results and r.id in results else evaluate(r, tables, options.settings.get(r.id), views)
         policy = options.policies.get(r.id, r.policy)
         if fuse and r.safety is None and isinstance(result, Counting) and (policy is None or isinstance(policy, Numeric) and policy.minimum is None and policy.maximum is not None and policy.maximum >= 0):
             shared.setdefault(("counting", id(result.table), result.relation), []).append((k, r, result, policy))
@@ -225,25 +226,14 @@ def run(spark: SparkSession, tables: dict[str, FactTable], options: Options | No
     return Report(summaries, failures, details([f for p in parts for f in p.findings], FINDINGS), of("rewrites", REWRITES), of("nodes", NODES), of("imports", IMPORTS))
 
 
-def portions(tables: dict[str, FactTable], ids: list[str], alone: int = 4) -> list[list[str]]:
-    """Rule ids in portions whose plans stay small: rules that share a scan together, the others a few at a time."""
-    shared: dict[tuple, list[str]] = {}
-    rest: list[str] = []
-    views: dict = {}
-    for id in ids:
-        result = evaluate(CATALOG[id], tables, None, views)
-        if isinstance(result, Counting):
-            shared.setdefault((id_of(result.table), result.relation), []).append(id)
-        elif isinstance(result, Measure):
-            shared.setdefault((id_of(result.table), ""), []).append(id)
-        else:
-            rest.append(id)
-    return [*shared.values(), *(rest[k : k + alone] for k in range(0, len(rest), alone))]
-
-
-def id_of(table: FactTable) -> int:
-    """What tells one view of a table from another while both are held."""
-    return id(table)
+def portions(results: dict[str, Result | Counting | Measure], size: int = 16) -> list[list[str]]:
+    """Evaluated rules in portions whose plans stay small: about `size` scans each, rules that share a scan together."""
+    scans: dict[object, list[str]] = {}
+    for name, result in results.items():
+        shared = (id(result.table), result.relation) if isinstance(result, Counting) else (id(result.table), "") if isinstance(result, Measure) else name
+        scans.setdefault(shared, []).append(name)
+    groups = list(scans.values())
+    return [[name for group in groups[k : k + size] for name in group] for k in range(0, len(groups), size)]
 
 
 def with_settings(one: Rule, **settings) -> Rule:

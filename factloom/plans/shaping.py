@@ -10,7 +10,9 @@ from .contracts import FINDINGS, IMPORTS, NODES, REWRITES, VALUES, Fix, Result,
 
 def _values(frame: DataFrame, column: str, value: Column | str, kind: str, count: Column | None) -> DataFrame:
     value = F.col(value) if isinstance(value, str) else value
-    return conform(frame.withColumns({column: value.cast(kind), "finding_count": F.lit(0) if count is None else count}), [(n, t) for n, t in VALUES if not n.endswith("_value") or n == column]).transform(lambda f: conform(f, VALUES))
+    made = frame.withColumns({column: value.cast(kind), "finding_count": F.lit(0) if count is None else count})
+    other = [n for n, _ in VALUES if n.endswith("_value") and n != column and n in made.columns]
+    return conform(made.drop(*other) if other else made, VALUES)
 
 
 def integer(frame: DataFrame, value: Column | str, findings: DataFrame | None = None, count: Column | None = None, fix: Fix | None = None) -> Result:
@@ -35,17 +37,24 @@ def findings(rows: DataFrame, message: Column, measurements: tuple[tuple[str, Co
     if order is None:
         keys = [c for c in ("ordinal", "path", "start_line", "start_column") if c in have]
         order = F.row_number().over(Window.partitionBy("fact_id").orderBy(*keys, message)) - 1
-    made = {
-        "finding_order": order,
-        "message": message,
-        "measurement_names": F.array(*(F.lit(n) for n, _, _ in measurements)).cast("array<string>"),
-        "measurement_values": F.array(*(v.cast("double") for _, v, _ in measurements)).cast("array<double>"),
-        "measurement_units": F.array(*(F.lit(u) for _, _, u in measurements)).cast("array<string>"),
-        "evidence": evidence if evidence is not None else F.col("evidence") if "evidence" in have else F.array().cast("array<string>"),
-        "choice_question": question if question is not None else F.lit(None),
-        "choice_options": F.array(*map(F.lit, options)).cast("array<string>"),
-    }
-    return conform(rows.withColumns(made), FINDINGS)
+    # Columns a finding lacks are filled by conform; only what differs from that is made here.
+    made = {"finding_order": order, "message": message}
+    if measurements:
+        made |= {
+            "measurement_names": F.array(*(F.lit(n) for n, _, _ in measurements)),
+            "measurement_values": F.array(*(v.cast("double") for _, v, _ in measurements)),
+            "measurement_units": F.array(*(F.lit(u) for _, _, u in measurements)),
+        }
+    if evidence is not None:
+        made["evidence"] = evidence
+    if question is not None:
+        made["choice_question"] = question
+    if options:
+        made["choice_options"] = F.array(*map(F.lit, options))
+    found = rows.withColumns(made)
+    have = set(found.columns)
+    empty = [(n, t) for n, t in FINDINGS if t.startswith("array") and n not in have]
+    return conform(found.selectExpr("*", *(f"CAST(array() AS {t}) AS {n}" for n, t in empty)) if empty else found, FINDINGS)
 
 
 def fix(rewrites: DataFrame, nodes: DataFrame | None = None, imports: DataFrame | None = None, summary: str = "") -> Fix:

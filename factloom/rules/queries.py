@@ -60,7 +60,9 @@ def rules_python_summaries(spark: SparkSession, d: str) -> DataFrame:
     tables = _python(spark, d)
     ids = [id for id, r in engine.CATALOG.items() if set(r.families) <= set(tables)]
     # A few rules at a time, each part written at once, so that the driver never holds the plan of the whole catalog.
-    parts = [written(engine.run(spark, tables, engine.Options(select=chosen)).summaries) for chosen in engine.portions(tables, ids)]
+    views: dict = {}
+    results = {id: engine.evaluate(engine.CATALOG[id], tables, None, views) for id in ids}
+    parts = [written(engine.run(spark, tables, engine.Options(select=chosen), results=results).summaries) for chosen in engine.portions(results)]
     return reduce(DataFrame.unionByName, parts).select("rule", "observation_count", "unassessed_count", "failure_count", "finding_count")
 
 
@@ -80,6 +82,32 @@ def rules_coupling_values(spark: SparkSession, d: str) -> DataFrame:
     return _judged(tables, ["ALL-ARCH0002", "ALL-ARCH0003", "ALL-CLAS0005"]).select("rule", "fact_id", "integer_value", "failed", "unassessed")
 
 
+JUDGED = ["ALL-ARCH1002", "ALL-ARCH1003", "ALL-ARCH1005", "ALL-ARCH1006", "ALL-ARCH1007", "ALL-CLAS1001", "ALL-CLAS1002", "ALL-COMM1001", "ALL-COMM1002", "ALL-DUPL1001", "ALL-REVI1001", "ALL-WRIT1001", "ALL-WRIT1002"]
+
+
+def rules_judged_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What the judged rules ask about in the archived facts and the flat tables: every candidate, unassessed without a backend."""
+    classes_ = table(spark, d, "class_index")
+    raw = table(spark, d, "raw_fact")
+    tables = {
+        "ModuleCouplingFact": tables_of.coupling_table(classes_), "OverrideFact": tables_of.override_table(classes_), "CommentFact": tables_of.comment_table(table(spark, d, "comment_group")),
+        "ProseSegmentFact": tables_of.prose_table(table(spark, d, "documents")), "RepositoryHistoryFact": tables_of.history_table(table(spark, d, "file_history")),
+        "ChangeFact": payloads.table(raw, "ChangeFact"), "CloneGroupFact": payloads.table(raw, "CloneGroupFact"),
+    }
+    return _judged(tables, JUDGED).select("rule", "fact_id", "unassessed")
+
+
+def rules_route_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the rules over routes: the addresses literals name, by repository."""
+    facts = tables_of.route_table(table(spark, d, "comment_group"))
+    return _judged({"RouteFact": facts}, ["ALL-ROUT0001", "ALL-ROUT0002", "ALL-ROUT0003"]).select("rule", "fact_id", "integer_value", "failed")
+
+
+def rules_literal_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the rules over literals whose files were not kept."""
+    return _judged({"StringExpressionFact": tables_of.literal_table(table(spark, d, "comment_group"))}, ["ALL-STRI0002"]).select("rule", "fact_id", "integer_value", "failed")
+
+
 def rules_surface_values(spark: SparkSession, d: str) -> DataFrame:
     """Values of the rules over Rust and TypeScript files."""
     tables = surfaces.tables(table(spark, d, "source_file"))
@@ -108,7 +136,7 @@ def facts_imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rules_domain_values, rules_coupling_values, rules_surface_values, rules_data_values, rules_data_summaries, rules_data_failures, rules_data_findings, rules_python_summaries, facts_functions, facts_calls, facts_classes, facts_imports)}
+    return {f.__name__: f for f in (rules_judged_candidates, rules_route_values, rules_literal_values, rules_domain_values, rules_coupling_values, rules_surface_values, rules_data_values, rules_data_summaries, rules_data_failures, rules_data_findings, rules_python_summaries, facts_functions, facts_calls, facts_classes, facts_imports)}
 
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -172,9 +200,30 @@ UNION ALL SELECT 'ALL-HIST0001', 'history:' || repository, CAST(count(*) FILTER
 UNION ALL SELECT 'ALL-HIST0002', 'history:' || repository, CAST(count(*) FILTER (WHERE author_count >= 4 AND c >= 5) AS DOUBLE), count(*) FILTER (WHERE author_count >= 4 AND c >= 5) > 0 FROM {files} GROUP BY repository
 UNION ALL SELECT 'ALL-COMM0001', 'comments:' || f.repository || ':' || f.path, coalesce(share, 0.0), coalesce(share, 0.0) > 20 FROM (SELECT DISTINCT repository, path FROM {groups}) f LEFT JOIN ({SQL['comm_length']}) s ON s.repository = f.repository AND s.path = f.path
 UNION ALL SELECT 'ALL-COMM0003', 'comments:' || f.repository || ':' || f.path, CAST(count(m.marker) AS DOUBLE), count(m.marker) > 0 FROM (SELECT DISTINCT repository, path FROM {groups}) f LEFT JOIN ({SQL['comm_work_markers']}) m ON m.repository = f.repository AND m.path = f.path GROUP BY f.repository, f.path"""
+    judged_ = f"""
+SELECT rule, 'coupling:' || repository AS fact_id, true AS unassessed FROM (SELECT DISTINCT repository FROM class_index, unnest(importers) AS u(i) WHERE i IS NOT NULL AND module IS NOT NULL), (VALUES ('ALL-ARCH1002'), ('ALL-ARCH1003'), ('ALL-ARCH1007')) AS r(rule)
+UNION ALL SELECT rule, 'class:' || class_id, true FROM ({SQL['clas_ancestors']}), (VALUES ('ALL-CLAS1001'), ('ALL-CLAS1002')) AS r(rule) WHERE ancestors > 0
+UNION ALL SELECT rule, 'comments:' || repository || ':' || path, true FROM (SELECT DISTINCT repository, path FROM {groups} WHERE token_count >= 3), (VALUES ('ALL-COMM1001'), ('ALL-COMM1002')) AS r(rule)
+UNION ALL SELECT 'ALL-WRIT1001', 'comments:' || repository || ':' || path, true FROM (SELECT DISTINCT repository, path FROM {groups} WHERE character_count >= 24)
+UNION ALL SELECT 'ALL-WRIT1002', 'document:' || doc_id, true FROM documents WHERE length(text) >= 24
+UNION ALL SELECT 'ALL-ARCH1006', 'history:' || repository, true FROM (SELECT DISTINCT repository FROM file_history)
+UNION ALL SELECT 'ALL-DUPL1001', fact_id, true FROM copy WHERE tokens >= 80 AND n > 0
+UNION ALL SELECT rule, fact_id, true FROM (SELECT DISTINCT fact_id FROM change0), (VALUES ('ALL-ARCH1005'), ('ALL-REVI1001')) AS r(rule)"""
+    latest_ = "(SELECT * FROM comment_group WHERE expression IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY ingested_at DESC NULLS LAST) = 1)"
+    routes_ = f"""WITH route AS ({SQL['rout_routes']}), fact AS (SELECT DISTINCT repository FROM {latest_}),
+part AS (SELECT repository, unnest(string_split(route, '/')) AS segment FROM route),
+styled AS (SELECT repository, CASE WHEN contains(segment, '-') AND NOT contains(segment, '_') THEN '-' WHEN contains(segment, '_') AND NOT contains(segment, '-') THEN '_' END AS style FROM part WHERE segment <> '' AND NOT regexp_matches(segment, '[{{<:]')),
+vote AS (SELECT repository, count(*) FILTER (WHERE style = '-') AS a, count(*) FILTER (WHERE style = '_') AS b FROM styled GROUP BY ALL),
+v AS (SELECT 'ALL-ROUT0001' AS rule, repository, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY repository, route) AS k FROM route) WHERE k > 1 GROUP BY ALL
+UNION ALL SELECT 'ALL-ROUT0002', repository, count(*) FROM (SELECT r.* FROM route r JOIN (SELECT repository, route, count(DISTINCT path) AS k FROM route GROUP BY ALL) USING (repository, route) WHERE k = 1) GROUP BY ALL
+UNION ALL SELECT 'ALL-ROUT0003', repository, least(a, b) FROM vote WHERE a <> b)
+SELECT rule, 'routes:' || repository AS fact_id, CAST(coalesce(n, 0) AS BIGINT) AS integer_value, coalesce(n, 0) > 0 AS failed FROM fact CROSS JOIN (VALUES ('ALL-ROUT0001'), ('ALL-ROUT0002'), ('ALL-ROUT0003')) AS t(rule) LEFT JOIN v USING (rule, repository)"""
     order = ", ".join(f"('{r}', {k})" for k, r in enumerate(sorted(DATA_RULES)))
     return {
         "rules_domain_values": domain_,
+        "rules_judged_candidates": _PREPARED + judged_,
+        "rules_route_values": routes_,
+        "rules_literal_values": f"SELECT 'ALL-STRI0002' AS rule, 'literals:' || repository || ':' || path AS fact_id, CAST(count(s.group_id) AS BIGINT) AS integer_value, count(s.group_id) > 0 AS failed FROM (SELECT DISTINCT repository, path FROM {latest_}) f LEFT JOIN ({SQL['stri_separators']}) s USING (repository, path) GROUP BY repository, path",
         "rules_data_values": _PREPARED + "SELECT rule, fact_id, number, category_value, failed, unassessed FROM judged",
         "rules_data_summaries": _PREPARED + found + """SELECT rule, count(*) AS observation_count, CAST(sum(CAST(unassessed AS INTEGER)) AS BIGINT) AS unassessed_count, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failure_count, CAST(sum(CASE WHEN failed THEN coalesce(m, 0) ELSE 0 END) AS BIGINT) AS finding_count
 FROM judged LEFT JOIN found USING (rule, fact_id) GROUP BY rule""",

@@ -297,3 +297,9 @@ def minimum_python_declaration(projects: FactTable, minimum_version: str = "3.14
     """Tools whose Python version is not the stated least one."""
     number = F.regexp_replace(F.regexp_replace("target", r"^\D*", ""), r"^(\d)(\d+)$", "$1.$2")
     return counted(projects, projects.relation("targets").where(F.regexp_extract(number, r"^\d+\.\d+", 0) != minimum_version), text("`", F.col("tool"), "` targets ", F.col("target")))
+
+
+@rule("ALL-STRI0002", "StringExpressionFact")
+def decorative_repeated_separator_count(facts: FactTable, minimum_repetitions: int = 3) -> Result:
+    """Literals that repeat a separator sign a fixed number of times."""
+    return counted(facts, facts.relation("separators").where(F.col("repetitions") >= minimum_repetitions), text("`", F.col("sign"), "` is repeated ", F.col("repetitions"), " times"))

@@ -1,4 +1,4 @@
-"""Rules over the surfaces of Rust and TypeScript files."""
+"""Rules over the surfaces of Rust, TypeScript and CUDA files."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from ..operators.facts import FactTable
 from ..plans import shaping
 from ..plans.contracts import Numeric, Result
 from ..plans.engine import rule
-from .shape import measured, text
+from .shape import flag, measured, text
 
 
 @rule("RS-LIFE0001", "RustSurfaceFact", language="rust")
@@ -65,3 +65,21 @@ def escape_hatch_density(files: FactTable) -> Result:
     facts = files.facts()
     share = F.when(F.col("lines") > 0, F.col("escapes") * 100.0 / F.col("lines")).otherwise(0.0)
     return shaping.floating(facts, share, shaping.findings(facts.where("escapes > 0"), text(F.col("escapes"), " lines escape the checker"), (("share", share, "percentage"),), order=F.lit(0)))
+
+
+@rule("CU-LAUN0001", "DeviceSurfaceFact")
+def raw_barrier_over_cooperative_groups(files: FactTable) -> Result:
+    """Barriers and warp calls by name instead of a group's."""
+    return measured(files, F.col("barriers"), text(F.col("barriers"), " raw barriers"))
+
+
+@rule("CU-LAUN0002", "DeviceSurfaceFact", output="boolean")
+def default_stream_kernel_launch(files: FactTable) -> Result:
+    """Whether a file that uses streams launches a kernel in the default one."""
+    return flag(files, F.col("default_launches") > 0, text(F.col("default_launches"), " launches name no stream"))
+
+
+@rule("CU-MEMO0001", "DeviceSurfaceFact")
+def synchronous_transfer_in_stream_scope(files: FactTable) -> Result:
+    """Synchronous copies in a file that uses streams."""
+    return measured(files, F.col("copies"), text(F.col("copies"), " copies wait"))

@@ -49,9 +49,9 @@ def new_path(spark: SparkSession) -> str:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """The frame in at least as many partitions as the cluster has cores, for work that is dear per row; a frame that has them is not shuffled."""
+    """The frame in as many partitions as the cluster has cores where it has fewer than half of that, for work that is dear per row; others are not shuffled."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores) if 2 * frame._jdf.rdd().getNumPartitions() < cores else frame
 
 
 def byte_size(frame: DataFrame) -> int:

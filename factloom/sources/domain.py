@@ -45,3 +45,20 @@ def override_table(classes: DataFrame) -> FactTable:
     depth = forest.roots(forest.fact_links(edges, classes)).select(F.col("node").alias("class_id"), F.col("depth").alias("ancestors"))
     facts = classes.select("class_id", "module").dropDuplicates(["class_id"]).join(depth, "class_id")
     return FactTable("OverrideFact", {"facts": facts.select(*_identity(F.concat(F.lit("class:"), "class_id"), F.col("module")), "class_id", "ancestors")})
+
+
+def route_table(groups: DataFrame) -> FactTable:
+    """One fact per repository with the addresses its literals name; the other places of an address are its references."""
+    found = text.routes(groups).withColumns({"fact_id": F.concat(F.lit("routes:"), "repository")})
+    paths = found.groupBy("fact_id", "route").agg(F.min("path").alias("least"), F.max("path").alias("most"))
+    # Whether another file names a route is all the rules ask: the least and the greatest path tell it of groups of any size.
+    routes = found.join(paths, ["fact_id", "route"]).select("fact_id", F.col("group_id").alias("ordinal"), F.lit("").alias("method"), F.col("route").alias("path"), F.col("path").alias("declared_in"), F.lit(False).alias("is_prefix_composed"), F.array(F.struct(F.col("least").alias("path")), F.struct(F.col("most").alias("path"))).alias("references"))
+    own = text.literals(groups).select("repository").distinct()
+    return FactTable("RouteFact", {"facts": own.select(*_identity(F.concat(F.lit("routes:"), "repository"), F.col("repository"))), "routes": routes})
+
+
+def literal_table(groups: DataFrame) -> FactTable:
+    """One fact per file with its literals, and those that repeat a separator sign."""
+    key = F.concat_ws(":", F.lit("literals"), "repository", "path")
+    found = text.separators(groups, minimum=1).select(key.alias("fact_id"), F.col("group_id").alias("ordinal"), "path", "sign", "repetitions")
+    return FactTable("StringExpressionFact", {"facts": text.literals(groups).select("repository", "path").distinct().select(*_identity(key, F.col("path"))), "separators": found})

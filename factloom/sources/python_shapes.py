@@ -93,8 +93,8 @@ def _kernel(f) -> dict:
 
 def _locals(f) -> Iterator[tuple[str, dict]]:
     """Sets filled by a loop right after they were made, and lists that are only looked into."""
-    for body in (getattr(n, "body", None) for n in ast.walk(f)):
-        for a, b in zip(body or [], (body or [])[1:] if isinstance(body, list) else []):
+    for body in (n.body for n in ast.walk(f) if isinstance(getattr(n, "body", None), list)):
+        for a, b in zip(body, body[1:]):
             if isinstance(a, ast.Assign) and isinstance(a.targets[0], ast.Name) and isinstance(a.value, ast.Call) and dotted(a.value.func) == "set" and not a.value.args and isinstance(b, ast.For) and len(b.body) == 1:
                 inner = b.body[0].body[0] if isinstance(b.body[0], ast.If) and len(b.body[0].body) == 1 and not b.body[0].orelse else b.body[0]
                 if isinstance(inner, ast.Expr) and isinstance(inner.value, ast.Call) and dotted(inner.value.func) == f"{a.targets[0].id}.add":

@@ -51,9 +51,12 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def node_link(edges: DataFrame, form: str = "mermaid", limit: int = 500) -> str:
-    """A diagram of at most `limit` edges as Mermaid or D2 text. Diagrams are for readers; the limit is part of them."""
-    rows = [(r["source"], r["target"]) for r in edges.select("source", "target").distinct().orderBy("source", "target").limit(limit).collect()]
+    """A diagram of at most `limit` edges as Mermaid or D2 text. Diagrams are for readers; the limit is part of them, and a diagram says what it leaves out."""
+    every = edges.select("source", "target").distinct()
+    rows = [(r["source"], r["target"]) for r in every.orderBy("source", "target").limit(limit + 1).collect()]
+    left = every.count() - limit if len(rows) > limit else 0
+    rows = rows[:limit]
     names = {n: f"n{k}" for k, n in enumerate(sorted({x for r in rows for x in r}))}
     if form == "d2":
-        return "\n".join([*(f'{k}: "{n}"' for n, k in names.items()), *(f"{names[a]} -> {names[b]}" for a, b in rows)])
-    return "\n".join(["flowchart LR", *(f'  {k}["{n}"]' for n, k in names.items()), *(f"  {names[a]} --> {names[b]}" for a, b in rows)])
+        return "\n".join([*[f"# {left} further edges"] * bool(left), *(f'{k}: "{n}"' for n, k in names.items()), *(f"{names[a]} -> {names[b]}" for a, b in rows)])
+    return "\n".join(["flowchart LR", *[f"  %% {left} further edges"] * bool(left), *(f'  {k}["{n}"]' for n, k in names.items()), *(f"  {names[a]} --> {names[b]}" for a, b in rows)])

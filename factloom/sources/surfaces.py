@@ -1,4 +1,4 @@
-"""Lexical facts of Rust and TypeScript files: one row per file, counted in one pass."""
+"""Lexical facts of Rust, TypeScript and CUDA files: one row per file, counted in one pass."""
 
 from __future__ import annotations
 
@@ -50,18 +50,41 @@ def typescript(text: str) -> dict[str, int]:
     return {"stars": len(_TS_STAR.findall(code)), "import_depth": max((x.count("../") for x in _TS_IMPORT.findall(code)), default=0), "kept": len(_TS_KEPT.findall(code)), "escapes": sum(bool(_TS_ESCAPE.search(x)) for x in code.split("\n")), "lines": len(code.split("\n"))}
 
 
+_CUDA_BARRIER = re.compile(r"\b(?:__syncthreads|__syncwarp|__shfl(?:_up|_down|_xor)?_sync|__(?:any|all|ballot)_sync)\s*\(")
+_CUDA_LAUNCH = re.compile(r"\b\w+\s*(?:<[^<>;]*>)?\s*<<<(.*?)>>>", re.S)
+_CUDA_COPY = re.compile(r"\bcudaMemcpy(?:2D|3D|ToSymbol|FromSymbol)?\s*\(")
+_CUDA_STREAM = re.compile(r"\bcudaStream(?:_t|Create\w*)\b")
+
+
+def device(text: str) -> dict[str, int]:
+    """Of a CUDA text: barriers and warp calls, kernel launches without a stream, synchronous copies; the last two where it uses streams."""
+    code = _STRIP.sub(lambda m: "\n" * m[0].count("\n"), text)
+    streams = bool(_CUDA_STREAM.search(code))
+    return {"barriers": len(_CUDA_BARRIER.findall(code)), "default_launches": streams * sum(_parts(x) < 4 for x in _CUDA_LAUNCH.findall(code)), "copies": streams * len(_CUDA_COPY.findall(code))}
+
+
+def _parts(text: str) -> int:
+    """Arguments on the outermost level of a list."""
+    depth, n = 0, 1
+    for sign in text:
+        depth += (sign in "([{") - (sign in ")]}")
+        n += sign == "," and depth == 0
+    return n
+
+
 def _table(files: DataFrame, suffix: str, language: str, read, family: str) -> FactTable:
     columns = list(read(""))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(f, p, *read(t).values()) for f, p, t in zip(batch["file_id"], batch["path"], batch["text"])], columns=["file_id", "path", *columns])
+            yield pd.DataFrame([(f, r, p, *read(t).values()) for f, r, p, t in zip(batch["file_id"], batch["repository"], batch["path"], batch["text"])], columns=["file_id", "repository", "path", *columns])
 
-    rows_ = latest(files.where(F.col("path").endswith(suffix) & F.col("text").isNotNull()).select("file_id", "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last()).drop("ingested_at")
-    rows = rows_.mapInPandas(extract, "file_id long, path string, " + ", ".join(f"{c} long" for c in columns))
+    repository = F.col("repository") if "repository" in files.columns else F.lit(None).cast("string").alias("repository")
+    rows_ = latest(files.where(F.col("path").rlike(suffix) & F.col("text").isNotNull()).select("file_id", repository, "path", "text", "ingested_at"), "file_id", F.col("ingested_at").desc_nulls_last(), "text").drop("ingested_at")
+    rows = rows_.mapInPandas(extract, "file_id long, repository string, path string, " + ", ".join(f"{c} long" for c in columns))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return FactTable(family, {"facts": rows.select(F.col("file_id").alias("fact_order"), F.concat(F.lit("file:"), "path").alias("fact_id"), "path", one.alias("start_line"), none.alias("start_column"), one.alias("end_line"), none.alias("end_column"), F.lit(language).alias("language"), *columns)})
+    return FactTable(family, {"facts": rows.select(F.col("file_id").alias("fact_order"), F.concat_ws(":", F.lit("file"), "repository", "path").alias("fact_id"), "path", one.alias("start_line"), none.alias("start_column"), one.alias("end_line"), none.alias("end_column"), F.lit(language).alias("language"), *columns)})
 
 
 def tables(files: DataFrame) -> dict[str, FactTable]:
-    return {"RustSurfaceFact": _table(files, ".rs", "rust", rust, "RustSurfaceFact"), "ModuleSurfaceFact": _table(files, ".ts", "typescript", typescript, "ModuleSurfaceFact")}
+    return {"RustSurfaceFact": _table(files, r"[.]rs$", "rust", rust, "RustSurfaceFact"), "ModuleSurfaceFact": _table(files, r"[.]ts$", "typescript", typescript, "ModuleSurfaceFact"), "DeviceSurfaceFact": _table(files, r"[.](?:cu|cuh|cpp|hpp|h)$", "cuda", device, "DeviceSurfaceFact")}

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from factloom.operators import graphs, history
 
 
@@ -25,7 +26,9 @@ def frame(spark, edges):
     return spark.createDataFrame([*edges, *edges[:3], (None, "x")], "source string, target string")
 
 
-def test_components_and_layers(spark):
+@pytest.mark.parametrize("one_task", [graphs.ONE_TASK, 0])
+def test_components_and_layers(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graphs, "ONE_TASK", one_task)
     for seed in range(2):
         r = random.Random(seed)
         edges = list({(f"v{r.randrange(14)}", f"v{r.randrange(14)}") for _ in range(20)})

@@ -5,11 +5,9 @@ from conftest import DATA, needs_data
 from factloom.plans import registry
 from oracle import connection, rows
 
-SLOW = {"rules_python_summaries"}
-
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, name):
     got = registry.queries()[name](spark, str(DATA)).toPandas()
     sql = registry.oracle_sql().get(name)
