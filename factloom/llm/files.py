@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import written
+from ..session import spread, written
 from . import origin, pieces, prose
 from .lexing import SUFFIXES, Parser, lexer, normalised, tables
 
@@ -66,7 +66,7 @@ def parse_errors(files: DataFrame) -> DataFrame:
             lines = [first_error(language, normalised(text), table) for language, text in zip(batch["language"], batch["text"])]
             yield batch.drop(columns=["path", "text"]).assign(error_line=lines)
 
-    return _latest(_inputs(files).mapInPandas(parse, f"file_id long, {_VERSION}, language string, error_line long"), "language", "error_line")
+    return _latest(spread(_inputs(files)).mapInPandas(parse, f"file_id long, {_VERSION}, language string, error_line long"), "language", "error_line")
 
 
 def failure_rates(files: DataFrame, errors: DataFrame, scans: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def unwritten_files(files: DataFrame, upstream: DataFrame) -> DataFrame:
             found = [origin.category(p, t, outside) or (None, None) for p, t in zip(batch["path"], batch["text"])]
             yield batch.drop(columns=["path", "text"]).assign(category=[c for c, _ in found], rule=[r for _, r in found])
 
-    return _latest(_inputs(files).mapInPandas(sort, f"file_id long, {_VERSION}, category string, rule string"), "category", "rule").where("category IS NOT NULL")
+    return _latest(spread(_inputs(files)).mapInPandas(sort, f"file_id long, {_VERSION}, category string, rule string"), "category", "rule").where("category IS NOT NULL")
 
 
 def with_history(found: DataFrame, files: DataFrame, history: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def file_spans(files: DataFrame) -> DataFrame:
                     found += [("source_file", file, *version, line, place, size, piece) for place, (line, _, piece, size) in enumerate(pieces.pieces_of(text, language, scanned)) if prose.maybe(piece)]
             yield _spans(found, seen).astype({"start_line": "Int64"})
 
-    return _inputs(files).mapInPandas(extract, _SPAN)
+    return spread(_inputs(files)).mapInPandas(extract, _SPAN)
 
 
 def group_spans(groups: DataFrame) -> DataFrame:

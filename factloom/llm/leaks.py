@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import written
+from ..session import spread, written
 
 LEAST = 12
 ITEMS_BOUND = 64 << 20
@@ -164,7 +164,7 @@ def _pass(documents: DataFrame, items: DataFrame, least: int, shard_words: int)
         if shard:
             yield pd.DataFrame(search(held, shard), columns=["doc_id", "item_id", "words", "doc_word", "item_word"])
 
-    return documents.select("doc_id", "text").mapInPandas(find, _FOUND)
+    return spread(documents.select("doc_id", "text")).mapInPandas(find, _FOUND)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import written
+from ..session import spread, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEED = 17
@@ -72,7 +72,7 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [counter.tokens(t) for t in batch["text"]]})
 
     plain = documents.select("doc_id", "text", F.lower(F.trim("source")).alias("source")).where("text IS NOT NULL AND source IS NOT NULL AND source <> ''")
-    return plain.mapInPandas(count, "doc_id long, source string, tokens long").where("tokens > 0").dropDuplicates(["doc_id"])
+    return spread(plain).mapInPandas(count, "doc_id long, source string, tokens long").where("tokens > 0").dropDuplicates(["doc_id"])
 
 
 def _program(spare: dict[int, int], width: int) -> dict[int, int]:

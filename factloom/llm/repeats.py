@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.facts import latest
 from ..operators.quantiles import nearest_rank
-from ..session import written
+from ..session import spread, written
 
 RUN, SHARE = 8, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -109,7 +109,7 @@ def repeated(documents: DataFrame, run: int = RUN) -> DataFrame:
         if held:
             yield made()
 
-    return documents.select("doc_id", "text").mapInPandas(count, "doc_id long, words long, repeated_words long, share double").dropDuplicates(["doc_id"])
+    return spread(documents.select("doc_id", "text")).mapInPandas(count, "doc_id long, words long, repeated_words long, share double").dropDuplicates(["doc_id"])
 
 
 # --- modified Kneser-Ney, order 3 -------------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def repeated(documents: DataFrame, run: int = RUN) -> DataFrame:
 _GRAMS = "three long, context long, two long, middle long, one long, n long"
 SHARD_ENTRIES = 1_000_000
 #: Tasks the requests to one shard are spread over; each holds the shard's array once.
-SPREAD = 4
+SPREAD = 8
 
 
 def _grams(documents: list[list[str]]):
@@ -166,7 +166,7 @@ def counts(documents: DataFrame) -> DataFrame:
             _, first, n = np.unique(keys[0], return_index=True, return_counts=True)
             yield pd.DataFrame({k: v[first].view(np.int64) for k, v in zip(("three", "context", "two", "middle", "one"), keys)} | {"n": n})
 
-    return documents.select("doc_id", "text").mapInPandas(count, _GRAMS).groupBy("three").agg(*(F.first(c).alias(c) for c in ("context", "two", "middle", "one")), F.sum("n").alias("n"))
+    return spread(documents.select("doc_id", "text")).mapInPandas(count, _GRAMS).groupBy("three").agg(*(F.first(c).alias(c) for c in ("context", "two", "middle", "one")), F.sum("n").alias("n"))
 
 
 def _discounts(types: DataFrame, n: str) -> tuple[float, float, float]:
@@ -266,7 +266,7 @@ def perplexity(documents: DataFrame) -> DataFrame:
 def bands(scored: DataFrame, documents: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Perplexity with the band of the document's language (quantiles low and high) and whether it lies outside; spellings of a language are one."""
     lang = F.coalesce(F.nullif(F.lower(F.substring_index(F.trim("lang"), "-", 1)), F.lit("")), F.lit("und"))
-    named = scored.join(documents.select("doc_id", lang.alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
+    named = written(scored.join(documents.select("doc_id", lang.alias("lang")).dropDuplicates(["doc_id"]), "doc_id"))
     limit = lambda q, name: nearest_rank(named, ["lang"], "perplexity", q).select("lang", F.col("value").alias(name))
     joined = named.join(limit(low, "lower"), "lang").join(limit(high, "upper"), "lang")
     return joined.select("doc_id", "lang", "words", "perplexity", "lower", "upper", ((F.col("perplexity") < F.col("lower")) | (F.col("perplexity") > F.col("upper"))).alias("rejected"))
