@@ -33,6 +33,12 @@ def comment_length(files: FactTable, measure: str = "token_count", normalization
     return shaping.floating(facts, F.col("share"), shaping.findings(facts.where("share > 0"), text("a comment of ", F.col("size"), " tokens"), (("share", F.col("share"), "percentage"),), order=F.lit(0)))
 
 
+@rule("ALL-COMM0002", "ParsedCommentFact")
+def commented_out_code(files: FactTable, minimum_lines: int = 1) -> Result:
+    """Comment groups that are code."""
+    return counted(files, files.relation("groups").where(F.col("parses_as_source") & (F.coalesce("line_count", F.lit(1)) >= minimum_lines)), text("a comment holds code"))
+
+
 @rule("ALL-COMM0003", "CommentFact")
 def unresolved_work_marker(files: FactTable, markers: tuple[str, ...] = lexical.WORK_MARKERS) -> Result:
     """Comment lines that begin with a work marker."""

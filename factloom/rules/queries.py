@@ -209,6 +209,16 @@ UNION ALL SELECT 'ALL-WRIT1002', 'document:' || doc_id, true FROM documents WHER
 UNION ALL SELECT 'ALL-ARCH1006', 'history:' || repository, true FROM (SELECT DISTINCT repository FROM file_history)
 UNION ALL SELECT 'ALL-DUPL1001', fact_id, true FROM copy WHERE tokens >= 80 AND n > 0
 UNION ALL SELECT rule, fact_id, true FROM (SELECT DISTINCT fact_id FROM change0), (VALUES ('ALL-ARCH1005'), ('ALL-REVI1001')) AS r(rule)"""
+    coupling_ = f"""WITH RECURSIVE e0 AS (SELECT DISTINCT repository, source, target FROM (SELECT repository, module AS target, unnest(importers) AS source FROM class_index) WHERE source IS NOT NULL AND target IS NOT NULL),
+r AS (SELECT repository, source AS a, target AS b FROM e0 UNION SELECT r.repository, r.a, e0.target FROM r JOIN e0 ON e0.repository = r.repository AND e0.source = r.b),
+c AS (SELECT x.repository, x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.repository = y.repository AND x.a = y.b AND x.b = y.a GROUP BY x.repository, x.a),
+p AS (SELECT DISTINCT repository, string_split(source, '.')[1] AS source, string_split(target, '.')[1] AS target FROM e0), x AS (SELECT * FROM p WHERE source <> target),
+o AS (SELECT repository, source AS node, count(*) AS n FROM x GROUP BY ALL), i AS (SELECT repository, target AS node, count(*) AS n FROM x GROUP BY ALL),
+m AS (SELECT repository, node, coalesce(o.n, 0) / (coalesce(o.n, 0) + coalesce(i.n, 0)) AS s FROM o FULL JOIN i USING (repository, node)),
+v AS (SELECT 'ALL-ARCH0002' AS rule, repository, count(DISTINCT component) AS n FROM c GROUP BY ALL
+UNION ALL SELECT 'ALL-ARCH0003', repository, count(*) FROM (SELECT x.* FROM x JOIN m a ON a.repository = x.repository AND a.node = x.source JOIN m b ON b.repository = x.repository AND b.node = x.target WHERE b.s > a.s) GROUP BY ALL)
+SELECT rule, 'coupling:' || repository AS fact_id, CAST(coalesce(n, 0) AS BIGINT) AS integer_value, coalesce(n, 0) > 0 AS failed, false AS unassessed FROM (SELECT DISTINCT repository FROM class_index) CROSS JOIN (VALUES ('ALL-ARCH0002'), ('ALL-ARCH0003')) AS t(rule) LEFT JOIN v USING (rule, repository)
+UNION ALL SELECT 'ALL-CLAS0005', 'class:' || class_id, CASE WHEN ancestors >= 0 THEN ancestors END, ancestors > 5, ancestors < 0 FROM ({SQL['clas_ancestors']})"""
     latest_ = "(SELECT * FROM comment_group WHERE expression IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY ingested_at DESC NULLS LAST) = 1)"
     routes_ = f"""WITH route AS ({SQL['rout_routes']}), fact AS (SELECT DISTINCT repository FROM {latest_}),
 part AS (SELECT repository, unnest(string_split(route, '/')) AS segment FROM route),
@@ -221,6 +231,7 @@ SELECT rule, 'routes:' || repository AS fact_id, CAST(coalesce(n, 0) AS BIGINT)
     order = ", ".join(f"('{r}', {k})" for k, r in enumerate(sorted(DATA_RULES)))
     return {
         "rules_domain_values": domain_,
+        "rules_coupling_values": coupling_,
         "rules_judged_candidates": _PREPARED + judged_,
         "rules_route_values": routes_,
         "rules_literal_values": f"SELECT 'ALL-STRI0002' AS rule, 'literals:' || repository || ':' || path AS fact_id, CAST(count(s.group_id) AS BIGINT) AS integer_value, count(s.group_id) > 0 AS failed FROM (SELECT DISTINCT repository, path FROM {latest_}) f LEFT JOIN ({SQL['stri_separators']}) s USING (repository, path) GROUP BY repository, path",

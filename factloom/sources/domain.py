@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import re
+import textwrap
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import forest, history, text
@@ -27,6 +34,43 @@ def comment_table(groups: DataFrame) -> FactTable:
     return FactTable("CommentFact", {"facts": rows.select("repository", "path").distinct().select(*_identity(F.concat_ws(":", F.lit("comments"), "repository", "path"), F.col("path"))), "groups": rows})
 
 
+def parsed_comment_table(groups: DataFrame) -> FactTable:
+    """The comment table with parses_as_source: whether a group's text is code.
+
+    Of Python files, text that parses and is more than names, literals or a lone word; of others, text every line of which
+    ends as statements do, with its brackets in balance.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(parses_as_source=[_is_code(p, b) for p, b in zip(batch["path"], batch["body"])])
+
+    table = comment_table(groups)
+    rows = table.relation("groups").select("fact_id", "ordinal", "repository", "path", "group_id", "body", "line_count")
+    flagged = rows.mapInPandas(read, "fact_id string, ordinal long, repository string, path string, group_id long, body string, line_count long, parses_as_source boolean")
+    return FactTable("ParsedCommentFact", {"facts": table.relation("facts"), "groups": flagged})
+
+
+_MARK = re.compile(r"^[ \t]*(?:#+|/{2,}|/?\*+/?)?[ ]?", re.M)
+_STATEMENT_END = re.compile(r"[;{}]\s*$|^\s*$")
+
+
+def _is_code(path: str | None, body: str) -> bool:
+    text = textwrap.dedent(_MARK.sub("", body.replace("\r\n", "\n"))).strip()
+    if not text:
+        return False
+    if (path or "").endswith(".py"):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+        return any(not (isinstance(s, ast.Expr) and not any(isinstance(n, ast.Call) for n in ast.walk(s.value))) for s in tree.body)
+    lines = text.split("\n")
+    return all(map(_STATEMENT_END.search, lines)) and all(text.count(a) == text.count(b) for a, b in ("()", "[]", "{}"))
+
+
 def prose_table(documents: DataFrame) -> FactTable:
     """One fact per document, with its whole text as the one section."""
     key = F.concat(F.lit("document:"), "doc_id")

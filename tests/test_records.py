@@ -92,3 +92,12 @@ def test_every_judged_rule_is_declared():
     assert len({q.id for q in QUESTIONS}) == len(QUESTIONS) == 44
     for q in QUESTIONS:
         assert len(set(q.answers)) == len(q.answers) and "uncertain" in q.answers and q.id in engine.CATALOG
+
+
+def test_comments_that_are_code(spark):
+    from factloom.sources import domain
+
+    bodies = [("a.py", "# x = f(1)"), ("a.py", "# just a note"), ("a.py", "# note"), ("a.py", "# if a:\n#     b()"), ("b.rs", "// let x = 1;\n// f(x);"), ("b.rs", "// The end; of it"), ("b.rs", ""), ("b.rs", "// f(;")]
+    groups = spark.createDataFrame([(k, "r", p, b, None, 1, 1, None) for k, (p, b) in enumerate(bodies)], "group_id long, repository string, path string, body string, kind string, line_count long, start_line long, ingested_at timestamp")
+    table = domain.parsed_comment_table(groups)
+    assert values(table, "ALL-COMM0002") == {"comments:r:a.py": 2, "comments:r:b.rs": 1}
