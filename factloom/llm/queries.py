@@ -109,10 +109,12 @@ share AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS words, coalesce(m, 0) AS repe
 """
 _P2 = """
 WITH token AS (SELECT stream_id, token_no, min({'s': symbol, 'i': identity}) AS t FROM clone_token WHERE stream_id IS NOT NULL AND token_no IS NOT NULL GROUP BY ALL),
-run AS (SELECT stream_id, token_no, list(t) OVER w AS g, max(token_no) OVER w AS last FROM token WINDOW w AS (PARTITION BY stream_id ORDER BY token_no ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
-whole AS (SELECT stream_id, token_no, g FROM run WHERE len(g) = 40 AND last = token_no + 39),
+kind AS (SELECT t, row_number() OVER () AS id FROM (SELECT DISTINCT t FROM token)),
+named AS MATERIALIZED (SELECT stream_id, token_no, id FROM token JOIN kind ON token.t IS NOT DISTINCT FROM kind.t),
+run AS (SELECT stream_id, token_no, list(id) OVER w AS g, max(token_no) OVER w AS last FROM named WINDOW w AS (PARTITION BY stream_id ORDER BY token_no ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+whole AS MATERIALIZED (SELECT stream_id, token_no, md5(CAST(g AS VARCHAR)) AS g FROM run WHERE len(g) = 40 AND last = token_no + 39),
 shared AS (SELECT g FROM whole GROUP BY g HAVING min(stream_id) <> max(stream_id)),
-place AS (SELECT DISTINCT stream_id, unnest(range(token_no, token_no + 40)) AS k FROM whole JOIN shared USING (g))
+place AS MATERIALIZED (SELECT DISTINCT stream_id, unnest(range(token_no, token_no + 40)) AS k FROM whole JOIN shared USING (g))
 """
 
 
