@@ -147,25 +147,25 @@ _OWNED = "coalesce(len(list_filter(owners, lambda x: json_type(x) <> 'NULL' AND
 _PREPARED = f"""
 WITH j0 AS (SELECT *, CASE WHEN json_valid(payload) THEN TRY_CAST(payload AS JSON) END AS a FROM raw_fact WHERE payload IS NOT NULL),
 j1 AS (SELECT *, {_decoded('a')} AS b FROM j0), j2 AS (SELECT *, {_decoded('b')} AS c FROM j1), j3 AS (SELECT *, {_decoded(_field('c', 'fact'))} AS f FROM j2),
-fact AS (SELECT delivery_id AS fact_order, fact_id, family, language, CASE WHEN json_type(f) = 'OBJECT' THEN f ELSE c END AS j FROM j3 WHERE json_type(c) = 'OBJECT'
+fact AS MATERIALIZED (SELECT delivery_id AS fact_order, fact_id, family, language, CASE WHEN json_type(f) = 'OBJECT' THEN f ELSE c END AS j FROM j3 WHERE json_type(c) = 'OBJECT'
   QUALIFY row_number() OVER (PARTITION BY family, fact_id ORDER BY observed_at DESC NULLS LAST, ingested_at DESC NULLS LAST, delivery_id DESC) = 1),
 asset0 AS (SELECT fact_id, unnest({_items(_field('j', 'assets'))}) AS r FROM fact WHERE family = 'DataAssetFact'),
-asset AS (SELECT fact_id, {_T(_field('r', 'identifier'))} AS identifier, {_T(_field('r', 'domain'))} AS domain, {_T(_field('r', 'lifecycle'))} AS lifecycle, {_bool(_field('r', 'is_changed'))} AS is_changed, {_items(_field('r', 'owners'))} AS owners, {_items(_field('r', 'fields'))} AS fields FROM asset0),
+asset AS MATERIALIZED (SELECT fact_id, {_T(_field('r', 'identifier'))} AS identifier, {_T(_field('r', 'domain'))} AS domain, {_T(_field('r', 'lifecycle'))} AS lifecycle, {_bool(_field('r', 'is_changed'))} AS is_changed, {_items(_field('r', 'owners'))} AS owners, {_items(_field('r', 'fields'))} AS fields FROM asset0),
 field0 AS (SELECT fact_id, {_OWNED} AS owned, unnest(fields) AS r FROM asset),
-field AS (SELECT fact_id, owned, {_T(_field('r', 'description'))} AS description, {_items(_field('r', 'tags'))} AS tags, {_items(_field('r', 'glossary_terms'))} AS terms FROM field0),
+field AS MATERIALIZED (SELECT fact_id, owned, {_T(_field('r', 'description'))} AS description, {_items(_field('r', 'tags'))} AS tags, {_items(_field('r', 'glossary_terms'))} AS terms FROM field0),
 ref0 AS (SELECT fact_id, unnest({_items(_field('j', 'references'))}) AS r, generate_subscripts({_items(_field('j', 'references'))}, 1) AS k FROM fact WHERE family = 'DataAssetReferenceFact'),
-ref AS (SELECT fact_id, k, {_T(_field('r', 'asset_identifier'))} AS identifier, {_bool(_field('r', 'asset_exists'))} AS there, {_pairs(_field('r', 'upstream_health'))} AS health FROM ref0),
+ref AS MATERIALIZED (SELECT fact_id, k, {_T(_field('r', 'asset_identifier'))} AS identifier, {_bool(_field('r', 'asset_exists'))} AS there, {_pairs(_field('r', 'upstream_health'))} AS health FROM ref0),
 up AS (SELECT DISTINCT fact_id, k, u.key AS key FROM (SELECT fact_id, k, unnest(health) AS u FROM ref) WHERE json_extract_string(u.value, '$') = 'unhealthy'),
 known AS (SELECT identifier, bool_or({_OWNED}) AS owned, bool_or(lifecycle IN ('deprecated', 'removed')) AS gone FROM asset GROUP BY ALL),
 change0 AS (SELECT fact_id, unnest({_items(_field('j', 'changes'))}) AS r FROM fact WHERE family = 'ChangeFact'),
 change1 AS (SELECT fact_id, r, {_decoded(_field('r', 'review'))} AS review, {_T(_field('r', 'author'))} AS author FROM change0),
-change AS (SELECT fact_id, len(list_filter({_items(_field('review', 'approvals'))}, lambda a: coalesce({_bool("json_extract(a, '$.approved')")} AND {_bool("json_extract(a, '$.eligible')")} AND json_extract_string(a, '$.reviewer') <> author, false))) > 0 AS met FROM change1 WHERE {_bool(_field('review', 'required'))}),
+change AS MATERIALIZED (SELECT fact_id, len(list_filter({_items(_field('review', 'approvals'))}, lambda a: coalesce({_bool("json_extract(a, '$.approved')")} AND {_bool("json_extract(a, '$.eligible')")} AND json_extract_string(a, '$.reviewer') <> author, false))) > 0 AS met FROM change1 WHERE {_bool(_field('review', 'required'))}),
 waiver0 AS (SELECT fact_id, unnest({_items(_field('j', 'waivers'))}) AS r FROM fact WHERE family = 'WaiverFact'),
 waiver AS (SELECT fact_id, TRY_CAST({_T(_field('r', 'age_days'))} AS BIGINT) AS age, {_bool(_field('r', 'is_overly_broad'))} AS broad, len(list_filter({_pairs(_field('r', 'metadata'))}, lambda m: m.key = 'reason' AND coalesce(length(trim(json_extract_string(m.value, '$'))) > 0, false))) > 0 AS reason FROM waiver0),
 clone AS (SELECT fact_id, TRY_CAST({_T(_field('j', 'token_length'))} AS BIGINT) AS tokens, {_items(_field('j', 'fragments'))} AS fragments FROM fact WHERE family = 'CloneGroupFact'),
 copy AS (SELECT fact_id, tokens, len(fragments) AS n, list_max(list_transform(fragments, lambda f: len({_items(_field('f', 'lines'))}))) AS lines FROM clone),
 suite AS (SELECT fact_id, len(p) AS n, len(list_filter(p, lambda c: coalesce(TRY_CAST(json_extract_string(c.value, '$') AS BOOLEAN), false))) AS n_on, import_mode FROM (SELECT fact_id, {_pairs(_field('j', 'strict_controls'))} AS p, {_T(_field('j', 'import_mode'))} AS import_mode FROM fact WHERE family = 'TestSuiteFact' AND language = 'python')),
-n AS (
+n AS MATERIALIZED (
   SELECT 'ALL-DATA0001' AS rule, fact_id, count(*) AS v FROM ref WHERE NOT there GROUP BY ALL
   UNION ALL SELECT 'ALL-DATA0004', fact_id, count(*) FROM ref JOIN known USING (identifier) WHERE gone GROUP BY ALL
   UNION ALL SELECT 'ALL-DATA0006', fact_id, count(*) FROM up GROUP BY ALL
@@ -177,7 +177,7 @@ n AS (
   UNION ALL SELECT 'ALL-WAIV0001', fact_id, count(*) FROM waiver WHERE age IS NULL OR age > 90 OR coalesce(broad, false) OR NOT reason GROUP BY ALL),
 rules AS (SELECT * FROM (VALUES ('ALL-DATA0001', 'DataAssetReferenceFact'), ('ALL-DATA0004', 'DataAssetReferenceFact'), ('ALL-DATA0006', 'DataAssetReferenceFact'), ('ALL-DATA0007', 'DataAssetFact'), ('ALL-DATA0009', 'DataAssetFact'), ('ALL-DATA0012', 'DataAssetFact'), ('ALL-DATA0013', 'DataAssetReferenceFact'), ('ALL-REVI0001', 'ChangeFact'), ('ALL-WAIV0001', 'WaiverFact')) AS t(rule, family)),
 numbers AS (SELECT r.rule, f.fact_id, CAST(coalesce(n.v, 0) AS DOUBLE) AS number FROM rules r JOIN fact f USING (family) LEFT JOIN n ON n.rule = r.rule AND n.fact_id = f.fact_id),
-judged AS (
+judged AS MATERIALIZED (
   SELECT rule, fact_id, number, CAST(NULL AS VARCHAR) AS category_value, CASE rule WHEN 'ALL-DATA0009' THEN number > 5 WHEN 'ALL-REVI0001' THEN number < 95 ELSE number > 0 END AS failed, false AS unassessed FROM numbers
   UNION ALL SELECT 'ALL-DUPL0003', fact_id, CAST(CASE WHEN tokens >= 60 AND lines >= 4 THEN n - 1 ELSE 0 END AS DOUBLE), NULL, false, true FROM copy
   UNION ALL SELECT 'PY-TEST0004', fact_id, NULL, CASE WHEN n = 0 OR n_on = 0 THEN 'permissive' WHEN n = n_on THEN 'strict' ELSE 'partial' END, NOT (n > 0 AND n = n_on), false FROM suite
