@@ -21,7 +21,7 @@ from .lexing import SUFFIXES, Parser, lexer, normalised, tables
 
 _PARSERS: dict[str, Parser] = {}
 #: Labelled documents the language models are trained on, at most this many of each language, none above LABELLED_BYTES.
-LABELLED, LABELLED_BYTES = 300, 1 << 16
+LABELLED, LABELLED_BYTES = 120, 1 << 16
 _VERSION = "seen timestamp, arrived timestamp, version long"
 #: Outside libraries' texts are indexed on every executor only below this size; the table is a fixed one.
 UPSTREAM_BOUND = 64 << 20

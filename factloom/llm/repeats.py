@@ -117,7 +117,7 @@ def repeated(documents: DataFrame, run: int = RUN) -> DataFrame:
 _GRAMS = "three long, context long, two long, middle long, one long, n long"
 SHARD_ENTRIES = 1_000_000
 #: Tasks the requests to one shard are spread over; each holds the shard's array once.
-SPREAD = 8
+SPREAD = 4
 
 
 def _grams(documents: list[list[str]]):

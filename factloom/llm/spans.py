@@ -248,10 +248,10 @@ def _candidates(batches: Iterator[pd.DataFrame], least: int, width: int) -> Iter
         free &= (own >= 0) & (seq.number[: len(start)] // width == block[np.maximum(own, 0)])
         stream = np.array([k[0] for k in keys])
         at = np.flatnonzero(free)
+        one, two = signatures(made, seq.one, seq.two, at, least)
         for k in range(0, len(at), 100_000):
             i = at[k : k + 100_000]
-            one, two = signatures(made, seq.one, seq.two, i, least)
-            yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "stream_id": stream[own[i]], "token_no": seq.number[i]})
+            yield pd.DataFrame({"one": one[k : k + 100_000].view(np.int64), "two": two[k : k + 100_000].view(np.int64), "stream_id": stream[own[i]], "token_no": seq.number[i]})
 
 
 def _blocks(tokens: DataFrame, least: int, width: int) -> DataFrame:
