@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import written
+from ..session import spread, written
 
 #: Shapes: a dict is a plain object, [dict] a list of records, list a list of values or lists, map a map, "node" the recursive tree node.
 NODE = {"modifiers": list, "children": ["node"]}
@@ -143,7 +143,7 @@ def entries(facts: DataFrame) -> DataFrame:
     not shuffled, and no payload is. Whether a fact is repeated is counted over the ids alone.
     """
     again = written(facts.where("payload IS NOT NULL").groupBy("fact_id").agg(F.count("*").alias("n")).where("n > 1").select("fact_id", F.lit(True).alias("again")))
-    read = payloads(facts.join(again, "fact_id", "left"), ("again",))
+    read = payloads(spread(facts).join(again, "fact_id", "left"), ("again",))
     row_cases, rest_cases = [], []
     for family, shape in SHAPES.items():
         rows, rest = _project("v", shape, "fact_id", "''", 0, LEVELS)
