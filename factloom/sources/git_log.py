@@ -16,14 +16,26 @@ from ..operators import forest
 from ..session import written
 
 
-def changes(log: DataFrame) -> DataFrame:
-    """repository, commit, author, at, status, path, former of every changed file."""
+#: Lines one task orders at once.
+BLOCK = 200_000
+
+
+def changes(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """repository, commit, author, at, status, path, former of every changed file.
+
+    A line belongs to the last commit head before it. Heads are carried forward within blocks of lines, and from block to
+    block by the last head of each, so a long log is not one task's.
+    """
     rows = log.where("line IS NOT NULL").dropDuplicates(["repository", "line_no"])
     head = F.startswith(F.col("line"), F.lit("\x01"))
     parts = F.split(F.substring("line", 2, 1 << 30), "\x02")
-    open_ = rows.withColumn("head", F.when(head, parts))
-    last = F.last("head", ignorenulls=True).over(Window.partitionBy("repository").orderBy("line_no"))
-    held = open_.withColumn("commit", last).where(F.col("head").isNull() & F.col("commit").isNotNull()).withColumn("f", F.split("line", "\t")).where(F.col("f")[0].rlike("^[ACDMRT][0-9]*$") & (F.size("f") > 1))
+    open_ = rows.select("repository", "line_no", "line", F.expr(f"line_no div {block}").alias("block"), F.when(head, parts).alias("head"))
+    ends = open_.where("head IS NOT NULL").groupBy("repository", "block").agg(F.max_by("head", "line_no").alias("end"))
+    blocks = open_.select("repository", "block").distinct().join(ends, ["repository", "block"], "left")
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("repository").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.last("head", ignorenulls=True).over(Window.partitionBy("repository", "block").orderBy("line_no"))
+    carried = open_.withColumn("own", own).join(blocks.select("repository", "block", before.alias("before")), ["repository", "block"])
+    held = carried.withColumn("commit", F.coalesce("own", "before")).where(F.col("head").isNull() & F.col("commit").isNotNull()).withColumn("f", F.split("line", "\t")).where(F.col("f")[0].rlike("^[ACDMRT][0-9]*$") & (F.size("f") > 1))
     renamed = F.col("f")[0].rlike("^[RC]")
     return held.select("repository", F.col("commit")[0].alias("commit"), F.col("commit")[1].alias("author"), F.timestamp_seconds(F.col("commit")[2].cast("long")).alias("at"), F.substring(F.col("f")[0], 1, 1).alias("status"), F.when(renamed, F.try_element_at("f", F.lit(3))).otherwise(F.col("f")[1]).alias("path"), F.when(F.col("f")[0].startswith("R"), F.col("f")[1]).alias("former")).where("path IS NOT NULL AND path <> ''")
 

@@ -25,10 +25,11 @@ M\td/e.py
 X\tz.py"""
 
 
-def test_log_with_renames(spark):
+@pytest.mark.parametrize("block", [git_log.BLOCK, 3, 1])
+def test_log_with_renames(spark, block):
     rows = [("r", k, line) for k, line in enumerate(LOG.split("\n"))]
     log = spark.createDataFrame(rows + rows[:4] + [("r", None, None)], "repository string, line_no long, line string")
-    found = git_log.changes(log)
+    found = git_log.changes(log, block)
     assert {(r.commit, r.status, r.path, r.former) for r in found.collect()} == {("c1", "A", "a.py", None), ("c1", "A", "b.py", None), ("c2", "R", "c.py", "a.py"), ("c2", "M", "b.py", None), ("c3", "R", "d/e.py", "c.py"), ("c3", "D", "b.py", None), ("c4", "M", "d/e.py", None)}
     history = git_log.history(git_log.folded(found), F.timestamp_seconds(F.lit(400000 + 86400 * 2))).collect()
     assert [tuple(r) for r in history] == [("r", "d/e.py", 2, 2, 2)]
