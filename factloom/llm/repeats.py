@@ -116,8 +116,8 @@ def repeated(documents: DataFrame, run: int = RUN) -> DataFrame:
 
 _GRAMS = "three long, context long, two long, middle long, one long, n long"
 SHARD_ENTRIES = 1_000_000
-#: Tasks the requests to one shard are spread over; each holds the shard's array once.
-SPREAD = 4
+#: Least number of tasks the requests to one shard are spread over, and the words one of them may ask for; each holds the shard's array once.
+SPREAD, TASK_WORDS = 4, 20_000_000
 
 
 def _grams(documents: list[list[str]]):
@@ -211,10 +211,11 @@ def perplexity(documents: DataFrame) -> DataFrame:
     """
     trigrams = written(counts(documents))
     shards = 1
-    entries = trigrams.count()
-    while shards * SHARD_ENTRIES < entries:
+    size = trigrams.agg(F.count("*").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    while shards * SHARD_ENTRIES < size["entries"]:
         shards *= 2
     bits = shards.bit_length() - 1
+    spread_over = max(SPREAD, size["words"] // (shards * TASK_WORDS))
     shard = F.shiftrightunsigned("three", 64 - bits) if bits else F.lit(0).cast("long")
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +242,7 @@ def perplexity(documents: DataFrame) -> DataFrame:
                     # Each trigram once, its places as small numbers, and the documents as numbers into a list of their ids.
                     hashes, place = np.unique(three[piece].view(np.int64), return_inverse=True)
                     some, doc = np.unique(owner[piece], return_inverse=True)
-                    yield pd.DataFrame({"shard": [part[piece[0]]], "part": [int(names[0]) % SPREAD], "asked": [hashes.tobytes()], "places": [place.astype(np.int32).tobytes()], "docs": [doc.astype(np.int32).tobytes()], "ids": [names[some].tobytes()]})
+                    yield pd.DataFrame({"shard": [part[piece[0]]], "part": [int(names[0]) % spread_over], "asked": [hashes.tobytes()], "places": [place.astype(np.int32).tobytes()], "docs": [doc.astype(np.int32).tobytes()], "ids": [names[some].tobytes()]})
 
     asked = latest(documents.select("doc_id", "text"), "doc_id", "text").mapInPandas(ask, "shard long, part int, asked binary, places binary, docs binary, ids binary")
 
@@ -258,8 +259,8 @@ def perplexity(documents: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "n": np.bincount(index), "logp": np.bincount(index, found[np.frombuffer(second, np.int32)])})
 
     # A shard's array comes before its requests and enters Python once in each of the few tasks its requests are spread over.
-    spread = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).unionByName(asked.withColumn("salt", F.col("part")))
-    sums = spread.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part").mapInPandas(answer, "doc_id long, n long, logp double")
+    placed = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread_over - 1)))).unionByName(asked.withColumn("salt", F.col("part")))
+    sums = placed.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part").mapInPandas(answer, "doc_id long, n long, logp double")
     return sums.groupBy("doc_id").agg(F.sum("n").alias("words"), F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
 
 

@@ -54,6 +54,7 @@ def kneser_ney(documents):
 @pytest.mark.parametrize("entries", [1_000_000, 20])
 def test_perplexity_against_the_definition(spark, monkeypatch, entries):
     monkeypatch.setattr(repeats, "SHARD_ENTRIES", entries)
+    monkeypatch.setattr(repeats, "TASK_WORDS", 20 * entries)
     r = random.Random(5)
     documents = [[r.choice("abcdefgh") for _ in range(r.randrange(1, 40))] for _ in range(30)]
     frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(documents)] + [(90, None), (91, "12 34"), (90, None)], "doc_id long, text string").withColumn("lang", F.lit("en-XX"))
